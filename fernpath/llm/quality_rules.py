@@ -18,13 +18,15 @@ LONG_LINE = 12
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
-# Words of site furniture; lines of up to BOILER_WORDS words that contain one are boilerplate.
+# Words of site furniture; lines of up to BOILER_CHARS characters that contain one, and no mark that the other rules look for, are boilerplate.
 BOILERPLATE = [
     "accept all cookies", "we use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "enable javascript", "javascript is disabled", "click here", "read more", "sign up", "log in", "subscribe to our", "skip to content",
     "share this", "back to top", "lorem ipsum", "powered by", "follow us on",
 ]
-BOILER_WORDS = 20
+BOILER_CHARS = 120
+#: Up to so many different repeated windows are looked up one by one.
+FEW = 8
 
 _GAP = "[ \\\\t-\\\\r]"
 _WORD = "[^ \\\\t-\\\\r]"
@@ -40,26 +42,29 @@ def _words(text: str) -> str:
 
 
 def _repeated_words(words: str) -> str:
-    """Words that lie in a window of three words found twice or more: windows by hash, sorted to bring equal ones together."""
-    places = (
-        "sort_array(transform(filter(s, (e, k) -> (k > 0 and get(s, k - 1).h = e.h) or (k < size(s) - 1 and get(s, k + 1).h = e.h)), e -> e.i))"
-    )
+    """Words that lie in a window of three words found twice or more; windows are compared by 64-bit hash.
+
+    Most texts repeat none. Where few windows repeat, their places are looked up; else sorting brings equal ones together.
+    """
     covered = "aggregate(transform(p, (x, k) -> if(k < size(p) - 1, least(3, get(p, k + 1) - x), 3)), 0L, (a, b) -> a + b)"
-    sort_path = _let("sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))", "s", _let(places, "p", covered))
+    few = "filter(transform(h, (x, i) -> if(array_contains(r, x), i, -1)), i -> i >= 0)"
+    paired = "filter(s, (e, k) -> (k > 0 and get(s, k - 1).h = e.h) or (k < size(s) - 1 and get(s, k + 1).h = e.h))"
+    many = _let("sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))", "s", f"sort_array(transform({paired}, e -> e.i))")
+    again = _let("sort_array(h)", "o", "array_distinct(filter(o, (x, k) -> k > 0 and x = get(o, k - 1)))")
+    places = _let(again, "r", f"case when size(r) <= {FEW} then {few} else {many} end")
     hashes = f"transform(sequence(0, size({words}) - 3), i -> xxhash64(get({words}, i), get({words}, i + 1), get({words}, i + 2)))"
-    return f"case when size({words}) < 4 then 0L else {_let(hashes, 'h', f'case when size(array_distinct(h)) = size(h) then 0L else {sort_path} end')} end"
+    return f"""case when size({words}) < 4 then 0L else {_let(hashes, "h", f"case when size(array_distinct(h)) = size(h) then 0L else {_let(places, 'p', covered)} end")} end"""
 
 
 def _line_fails(line: str) -> str:
-    n = f"size({_words(line)})"
-    rules = [
-        f"(size(split({line}, '[|»›]', -1)) >= 3)",
-        f"(5 * (size(split({line}, '[#*$%&|<>]', -1)) - 1) > n)",
-        f"(n >= 5 and 5 * (size(split({line}, '!!', -1)) - 1) > n)",
-        f"(n >= {LONG_LINE} and not {line} rlike '[.,;:!?]')",
-        f"(n <= {BOILER_WORDS} and lower({line}) rlike '{'|'.join(BOILERPLATE)}')",
-    ]
-    return _let(n, "n", f"case when {' or '.join(rules)} then n else 0 end")
+    """Words of the line if a rule fails it, else 0. Cheap tests come first; words are counted only where one of them hits."""
+    marked = f"""size(split({line}, '[|»›]', -1)) >= 3
+      or 5 * (size(split({line}, '[#*$%&|<>]', -1)) - 1) > n
+      or (n >= 5 and 5 * (size(split({line}, '!!', -1)) - 1) > n)
+      or (n >= {LONG_LINE} and not {line} rlike '[.,;:!?]')"""
+    furniture = _let(f"lower({line})", "low", " or ".join(f"contains(low, '{x}')" for x in BOILERPLATE))
+    return f"""case when {line} rlike '[#*$%&|<>»›]|!!' or not {line} rlike '[.,;:!?]' then {_let(f"size({_words(line)})", "n", f"case when {marked} then n else 0 end")}
+      when length({line}) <= {BOILER_CHARS} and {furniture} then size({_words(line)}) else 0 end"""
 
 
 def _stats() -> str:
@@ -74,7 +79,7 @@ def _stats() -> str:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """The documents' own columns plus struct `__q`: the counts, base_failed, lost_words, kept and cleaned text.
+    """The documents' own columns plus struct `__q`: the counts, base_failed, lost_words, and the words lost by line.
 
     A null or empty text has no words and fails. Lines are parted by line feeds only; windows are compared by 64-bit hash.
     """
@@ -83,7 +88,7 @@ def judged(docs: DataFrame) -> DataFrame:
       'n_repeat_words', q.n_repeat_words,
       'base_failed', q.n_words < {MIN_WORDS} or 100 * q.n_repeat_words > {MOST_REPEATED} * q.n_words,
       'lost_words', aggregate(q.lost, 0L, (a, b) -> a + b),
-      'cleaned', array_join(filter(split(t, '\\n', -1), (x, i) -> get(q.lost, i) = 0), '\\n'))"""
+      'lost', q.lost)"""
     return docs.withColumn("__q", F.expr(_let("coalesce(text, '')", "t", _let(stats, "q", verdict))))
 
 
@@ -98,9 +103,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; other columns as they were, n_chars that of the new text."""
     names = docs.columns
-    new = {"text": "__q.cleaned as text", "n_chars": "cast(length(__q.cleaned) as bigint) as n_chars"}
     passed = judged(docs).where(f"not __q.base_failed and 100 * __q.lost_words <= {MOST_LOST} * __q.n_words")
-    return passed.selectExpr(*(new.get(c, f"`{c}`") for c in names))
+    rest = "if(__q.lost_words = 0, text, array_join(filter(split(text, '\\\\n', -1), (x, i) -> get(__q.lost, i) = 0), '\\n'))"
+    passed = passed.withColumn("text", F.expr(rest)).drop("__q")
+    return (passed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else passed).select(*(f"`{c}`" for c in names))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +128,8 @@ bad AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lost FROM line WHERE
   OR 5 * (len(x) - len(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > n
   OR (n >= 5 AND 5 * len(regexp_extract_all(x, '!!')) > n)
   OR (n >= {LONG_LINE} AND NOT regexp_matches(x, '[.,;:!?]'))
-  OR (n <= {BOILER_WORDS} AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) GROUP BY doc_id),
+  OR (len(x) <= {BOILER_CHARS} AND regexp_matches(x, '[.,;:!?]') AND NOT regexp_matches(x, '[#*$%&|<>»›]|!!')
+      AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) GROUP BY doc_id),
 s AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
