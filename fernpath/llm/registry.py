@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fernpath.llm import quality_rules
+from fernpath.llm import bpe, classifier, licences, neighbours, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_compression_classifier": classifier.op1_compression_classifier,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_licence_rules": licences.op5_licence_rules,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_block_matrix_neighbours": neighbours.op10_block_matrix_neighbours,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_quality_rules": quality_rules.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op10_block_matrix_neighbours": neighbours.ORACLE}
