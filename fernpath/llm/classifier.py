@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from fernpath.llm.common import blocks, id_text, out, raw, table
 
 #: Bounds of the training sample: labelled texts of each class, and bytes of each; half go to the dictionary, half to the curve.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 8_192
-DICT_BYTES, LEVEL = 110_000, 3
+SAMPLE_TEXTS, SAMPLE_BYTES = 4_000, 4_096
+DICT_BYTES, LEVEL = 32_000, 1
+#: Texts are compressed in blocks of this many bytes, each from the dictionary alone, so that a long text's own past does not stand in for it.
+TEXT_BLOCK = 512
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -65,7 +67,7 @@ class Model:
         """From -1 to 1: how much shorter the text is with the good dictionary than with the bad one. Empty: 0."""
         if not text:
             return 0.0
-        bad, good = (len(c(text)) for c in self.compress)
+        bad, good = (sum(len(c(text[k : k + TEXT_BLOCK])) for k in range(0, len(text), TEXT_BLOCK)) for c in self.compress)
         return (bad - good) / (bad + good)
 
     def score(self, text: bytes) -> float:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fernpath.llm import bpe, classifier, licences, neighbours, packing, quality_rules
+from fernpath.llm import bpe, classifier, ctw, licences, neighbours, packing, quality_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_licence_rules": licences.op5_licence_rules,
+        "op8_context_tree": ctw.op8_context_tree,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_block_matrix_neighbours": neighbours.op10_block_matrix_neighbours,
         "pipeline": corpus_pipeline.run,
