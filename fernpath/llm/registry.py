@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fernpath.llm import bpe, classifier, ctw, licences, neighbours, packing, quality_rules
+from fernpath.llm import bpe, classifier, ctw, licences, neighbours, packing, quality_rules, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_compression_classifier": classifier.op1_compression_classifier,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_licence_rules": licences.op5_licence_rules,
