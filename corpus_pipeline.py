@@ -1,25 +1,49 @@
-"""A corpus from raw documents to packed sequences, in stages that each read what the one before wrote."""
+"""A corpus from raw documents to packed sequences, in stages that each read what the one before wrote.
+
+Documents that the quality rules reject go, as do failing lines of the others; of near copies (five-word shingles, similarity of
+0.8 or more) the one with the smallest doc_id stays; strings of 200 bytes that occur again are cut out; personal data is masked;
+what is left is tokenised and packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernpath.llm import common, quality_rules
+from fernpath.llm import common, jaccard_join, packing, pii, quality_rules, suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the line rules reject, and the failing lines of the others."""
     return quality_rules.cleaned(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.distinct(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_dedup", repeated_strings),
+    ("pii", personal_data),
+    ("best_fit_packing", sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stash(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fernpath.llm import bpe, classifier, ctw, jaccard_join, licences, neighbours, packing, quality_rules, suffix_dedup
+from fernpath.llm import bpe, classifier, ctw, jaccard_join, licences, neighbours, packing, pii, quality_rules, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_licence_rules": licences.op5_licence_rules,
+        "op6_bootstrapped_pii": pii.op6_bootstrapped_pii,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_context_tree": ctw.op8_context_tree,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
