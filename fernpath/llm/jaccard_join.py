@@ -139,7 +139,10 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sets(docs: DataFrame, width: int, scheme: Scheme | None) -> DataFrame:
-    """doc_id, n (size of the set), hi and lo (its digest) and tokens: those to index by, or all of them without a scheme."""
+    """doc_id, n (size of the set), hi and lo (its digest) and tokens: those to index by, or all of them without a scheme.
+
+    sketch holds 32 bits of each shingle with a hash below half the scheme's cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -147,10 +150,12 @@ def sets(docs: DataFrame, width: int, scheme: Scheme | None) -> DataFrame:
             every = [shingles(t) for t in part.column("text").to_pylist()]
             high, low = zip(*map(_digest, every), strict=True)
             kept = [scheme.stored(t) if len(t) >= scheme.least else t[:0] for t in every] if scheme else every
-            columns = [part.column("doc_id"), pa.array([len(t) for t in every], pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(kept)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "hi", "lo", "tokens"])
+            half = scheme.cut >> np.uint64(1) if scheme else np.uint64(0)
+            sketch = [np.unique(t[: np.searchsorted(t, half)].astype(np.uint32)).tobytes() for t in every]
+            columns = [part.column("doc_id"), pa.array([len(t) for t in every], pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(kept), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "hi", "lo", "tokens", "sketch"])
 
-    return raw(docs).mapInArrow(run, "doc_id long, n long, hi long, lo long, tokens array<long>")
+    return raw(docs).mapInArrow(run, "doc_id long, n long, hi long, lo long, tokens array<long>, sketch binary")
 
 
 def _entries(scheme: Scheme, shared) -> callable:
@@ -169,11 +174,33 @@ def _entries(scheme: Scheme, shared) -> callable:
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted arrays without repeats have in common."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _near(percent: int) -> callable:
+    """Drops pairs whose sketches differ by more than two similar sets differ as a whole; no similar pair is among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                keep.append((100 + percent) * (len(x) + len(y) - 2 * _shared(x, y)) <= (100 - percent) * (n + m))
+            yield batch.select(["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, stored: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of digests those, as (a, b) of the classes' smallest doc_ids, whose sets are similar enough."""
-    node = classes.select("lo", "rep")
-    pairs = pairs.join(node.withColumnsRenamed({"lo": "a", "rep": "ra"}), "a").join(node.withColumnsRenamed({"lo": "b", "rep": "rb"}), "b")
-    pairs = stash(pairs.select("ra", "rb"), "pairs")
+    node = stored.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["hi", "lo", "doc_id"]).select("lo", "doc_id", "n", "sketch")
+    pairs = pairs.join(node.withColumnsRenamed({"lo": "a", "doc_id": "ra", "n": "nx", "sketch": "x"}), "a").drop("a")
+    pairs = pairs.join(node.withColumnsRenamed({"lo": "b", "doc_id": "rb", "n": "ny", "sketch": "y"}), "b").drop("b")
+    pairs = stash(pairs.mapInArrow(_near(percent), "ra long, rb long").distinct(), "pairs")
     wanted = stash(pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct(), "wanted")
     if wanted.count() <= MOST_IDS:
         wanted = F.broadcast(wanted)
@@ -187,7 +214,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, p
                 part, rows = batch.slice(start, 200), []
                 for a, b, x, y in zip(part.column("ra").to_pylist(), part.column("rb").to_pylist(), part.column("x"), part.column("y"), strict=True):
                     x, y = x.values.to_numpy(), y.values.to_numpy()
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                    both = _shared(x, y)
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         rows.append((a, b))
                 yield out(schema, *(zip(*rows, strict=True) if rows else ([], [])))
@@ -217,8 +244,8 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     met = index.join(leads.selectExpr("entry", "first.n as ln", "first.c as lc"), "entry").distinct()
     met = stash(met, "met")
     close = f"100 * ln >= {percent} * n"
-    tried = met.where(f"c <> lc and {close}").groupBy("c", "lc").count().groupBy("c").agg(F.max_by("lc", F.struct("count", "lc")).alias("lc"))
-    first = _verify(docs, tried.select(F.col("lc").alias("a"), F.col("c").alias("b")), classes, width, percent)
+    tried = met.where(f"c <> lc and {close}").select(F.col("lc").alias("a"), F.col("c").alias("b")).distinct()
+    first = _verify(docs, tried, classes, stored, width, percent)
     label = components(first)
     # classes that are still apart although they share an entry; the largest side of an entry is never paired with itself
     root = classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("lo").alias("c"), F.coalesce("label", "rep").alias("root")).dropDuplicates(["c"])
@@ -228,7 +255,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     few = placed.where("root <> main").select("entry", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     every = placed.select("entry", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
     apart = few.join(every, "entry").where(f"ra <> rb and (rb = main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    second = _verify(docs, apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, width, percent)
+    second = _verify(docs, apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, stored, width, percent)
     node = components(first.union(second)).withColumnsRenamed({"node": "rep"})
     rows = stored.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left").join(node, "rep", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
