@@ -1 +1 @@
-
+"""Nothing streams here: every operator works on a bounded table of files."""
