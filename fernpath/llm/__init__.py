@@ -1,8 +1 @@
 """Operators for preparing text corpora. Nothing else in the package imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors may lack this package on their path; its functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
