@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernpath.llm.bpe import FIRST_LEFT
 from fernpath.llm.chunks import Encoder, load
 from fernpath.llm.common import blocks, out, raw, stash, table
 
@@ -25,6 +27,8 @@ MAX_LEN = 4096
 END_ID = 1
 #: Rows of one size are ranked in this many parts, so that one size with most of the rows does not fall to one task.
 RANK_PARTS = 64
+#: A task forgets parts of chunks beyond this number; results do not depend on it.
+MOST_PARTS = 300_000
 
 
 def plan(counts: dict[int, int], capacity: int = MAX_LEN) -> np.ndarray:
@@ -70,13 +74,34 @@ def plan(counts: dict[int, int], capacity: int = MAX_LEN) -> np.ndarray:
     return np.array(moves, np.int64).reshape(-1, 5)
 
 
+class WordEncoder:
+    """Ids of white-space chunks in a vocabulary of lower-case words: its pattern parts a chunk, equal parts are encoded once."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.known = load(path), {}
+        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str]) -> list[list[int]]:
+        if len(self.known) > MOST_PARTS:
+            self.known.clear()
+        known, low = self.known, [c.lower() for c in chunks]
+        # what other Unicode tables might see otherwise is left to the library as it is
+        parts = [[chunk] if max(c) >= FIRST_LEFT else self.find(c) for chunk, c in zip(chunks, low, strict=True)]
+        new = list(dict.fromkeys(p for own in parts for p in own if p not in known))
+        known.update(zip(new, self._ids(new), strict=True))
+        return [known[own[0]] if len(own) == 1 else [i for p in own for i in known[p]] for own in parts]
+
+
 def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's ids; documents over max_len are cut, others stay whole."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        encoder = Encoder(tokenizer, str.split, lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        words = WordEncoder(path)
+        encoder = Encoder(words.tokenizer, str.split, words)
         for part in blocks(batches):
             rows = []
             texts = [t.decode() for t in part.column("text").to_pylist()]
