@@ -1,0 +1,270 @@
+"""Each operator against a plain version, on a few documents with nulls, empty and long texts, repeats and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from fernpath.llm import bpe, classifier, ctw, jaccard_join, licences, neighbours, packing, pii, quality_rules, suffix_dedup, suffix_sort
+from fernpath.llm.lexicon import Lexicon, compiled
+
+SF = "/root/testdata/sf0.001"
+rng = random.Random(11)
+SHARED = " ".join(f"shared{k}" for k in range(40))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.doc_id < 60]
+    long = " ".join(rng.choice("alpha beta gamma delta, eps. zeta").strip() + str(rng.randrange(99)) for _ in range(8000))
+    near = long[:3000].split()
+    odd = [None, "", " \n\t ", "x", long, long, "a" * 3000, f"{SHARED} one tail", f"head two {SHARED}", "one two", "ONE two", "mit license é MIT\nLicense", "x <|endoftext|> y z", "|a|b|c|\nfine words here."]
+    odd += [" ".join(near[:k] + ["edit"] + near[k + 1 :]) for k in (3, 50, 90)]
+    return found + [(1000 + k, t) for k, t in enumerate(odd)] + [(1004, long)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    made = [(i, t, "src", "en", 7.5, "n", "sp") for i, t in rows]
+    return spark.createDataFrame(made, "doc_id long, text string, source string, lang string, score double, n_words string, spans string").repartition(3).cache()
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_classifier(spark, docs, rows):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _ in rows if i < 40] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    found = classifier.scores(docs, labels)
+    assert found.count() == len(rows)
+    for i, r in by_id(found).items():
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert classifier.scores(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_classifier_tells_classes_apart():
+    good = [" ".join(rng.choice(["the", "of", "reading", "quiet", "river."]) for _ in range(80)).encode() for _ in range(120)]
+    bad = [" ".join(rng.choice(["BUY!!", "$$$", "now***", "CLICK!!", "|"]) for _ in range(80)).encode() for _ in range(120)]
+    model = classifier.Model(*classifier.fit({0: bad[:80], 1: good[:80]}))
+    assert all(model.score(t) > 0.5 for t in good[80:]) and all(model.score(t) < 0.5 for t in bad[80:])
+
+
+def test_deep_shallow():
+    for trial in range(150):
+        strings = [bytes(rng.choices(b"ab\0", k=rng.randint(0, rng.choice([3, 12, 60])))) for _ in range(rng.randint(1, 25))]
+        strings = [rng.choice([b"x" * 40, b"y" * 33, b""]) + s for s in strings] if trial % 2 else strings
+        group = np.array([rng.randint(0, 2) for _ in strings])
+        order, shared = suffix_sort.deep_shallow(strings, group)
+        assert [(group[i], strings[i]) for i in order] == sorted(zip(group.tolist(), strings))
+        for k in range(1, len(strings)):
+            want = suffix_sort.common(strings[order[k]], strings[order[k - 1]]) if group[order[k]] == group[order[k - 1]] else -1
+            assert shared[k] == want
+
+
+@pytest.mark.parametrize("most_spans", [suffix_dedup.MOST_SPANS, 2])
+def test_suffix_dedup(docs, rows, most_spans):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    times = collections.Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199))
+    found = suffix_dedup.digests(docs, most_spans)
+    assert found.count() == len(rows)
+    found = by_id(found)
+    for i, t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 199):
+            if times[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        runs = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if t else 0
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        r = found[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_quality_rules(docs, rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows[:-1])  # the SQL takes ids to be distinct
+    theirs = {r[0]: r for r in con.sql(quality_rules.ORACLE).fetchall()}
+    found = quality_rules.verdicts(docs)
+    assert found.count() == len(rows)
+    for r in found.collect():
+        assert tuple(r) == theirs[r.doc_id]
+    assert quality_rules.cleaned(docs).columns == docs.columns
+
+
+def test_lexicon():
+    words = {bytes(rng.choices(b"abc \xc3\xa9", k=rng.randint(1, 8))): [rng.randrange(50000) for _ in range(rng.randint(1, 4))] for _ in range(3000)}
+    lexicon = Lexicon(compiled(words))
+    assert all(lexicon.get(w) == ids for w, ids in words.items())
+    assert all(lexicon.get(w) is None for w in (b"", b"zz", b"abcabcabcabc"))
+
+
+def test_bpe(docs, rows):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = by_id(bpe.round_trip(docs))
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        sha = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        back = hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(ids), sha, back)
+
+
+def test_licences(docs, rows):
+    found = by_id(licences.scan(docs))
+    for i, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(k, label) for p, label in licences.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        r = found[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert 0 <= r.score <= 1 and {x for x in r.base_labels.split(",") if x} <= set(r.labels.split(","))
+
+
+def test_licence_suppression():
+    labels = lambda t: [x[2] for x in licences.detections(t, licences.rules())]
+    assert labels(b"licensed under the apache license, version 2.0.") == ["apache-2.0"]
+    assert labels(b"under gnu lesser general public license v2.1 and mit license") == ["lgpl-2.1", "mit"]
+    assert labels(b"nothing to see") == []
+
+
+_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _valid(kind, x):
+    g = re.sub("[^0-9]", "", x)
+    if kind == "card":
+        return 12 <= len(g) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(g[::-1])) % 10 == 0
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in x.split(".")), "phone": 9 <= len(g) <= 15}[kind]
+
+
+def test_pii(spark):
+    texts = [None, "", "a@b.c_d@e.f é\U0001f44d x@y.z", "1.2.3.4.5.6.7.8 256.1.1.1", "4111 1111 1111 1111 and +1 (487) 555-7209 4736", "1" * 20000, "a." * 9000 + "@b.c"]
+    texts += ["".join(rng.choices("a1.@+ -()9é\n", k=rng.randint(1, 60))) for _ in range(300)]
+    texts += [f"my account number {n}-77-{n} is here and user name x{n}@mail.org" for n in range(100000, 100008)]
+    rows = list(enumerate(texts))
+    found = by_id(pii.listed(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        spans = sorted((m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p) in enumerate(_PII.items()) for m in re.finditer(p, t or "") if _valid(k, m[0]))
+        listed = [s for *_, s in spans]
+        assert found[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= {*found[i].spans.split(","), *listed}
+        assert [found[i][f"n_{k}"] for k in _PII] == [sum(s.startswith(k) for s in listed) for k in _PII]
+
+
+def test_contexts_discover(spark):
+    hexes = [f"{k:032x}" for k in range(1, 9)]
+    rows = [(k, f"words before token = {h} after") for k, h in enumerate(hexes)] + [(50, "more token = notquite-1234 end")]
+    found = by_id(pii.listed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[50].spans == "secret:13:26"
+    masked = by_id(pii.masked(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert masked[50].text == "more token = <SECRET> end"
+
+
+@pytest.mark.parametrize("width, percent, frequent", [(3, 90, 40), (5, 80, 2)])
+def test_jaccard_join(docs, rows, width, percent, frequent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    words = {i: (t or "").encode().lower().split() for i, t in rows}
+    sets = {i: frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) or frozenset([tuple(w)] if w else []) for i, w in words.items()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    found = jaccard_join.groups(docs, width, percent)
+    assert found.count() == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_context_tree(docs, rows, monkeypatch):
+    train = [(t or "").encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = collections.Counter(w for t in train for w in t.split())
+    total, kinds = sum(words.values()) + len(train), len(words) + 1
+    for head in (200_000, 20):
+        monkeypatch.setattr(ctw, "HEAD_WORDS", head)
+        found = ctw.scores(docs)
+        assert found.count() == len(rows)
+        for i, r in by_id(found).items():
+            text = dict(rows)[i]
+            own = (text or "").encode().lower().split()
+            log = math.log10(total + 0.5 * (kinds + 1))
+            base = sum(math.log10(words[w] + 0.5) - log for w in own) + math.log10(len(train) + 0.5) - log
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own) + 1, sum(w in words for w in own) + 1, total)
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+
+
+def test_tree_is_a_distribution():
+    key = np.unique(ctw.grams(b"abracadabra"), return_counts=True)
+    tree = ctw.Tree(key[0].astype(np.int64), key[1].astype(float))
+    every, cost = tree.table()
+    assert np.allclose((10.0 ** cost.astype(float)).sum(axis=1), 1, atol=1e-5) and every.max() < len(cost)
+
+
+def test_packing(docs, rows):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.packed(docs).toPandas()
+    want = collections.Counter()
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        want.update((i, k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096)))
+    assert collections.Counter(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == want
+    got = got.sort_values(["sequence_id", "offset"])
+    end = got.offset + got.length
+    assert end.max() <= 4096 and (end.groupby(got.sequence_id).shift(fill_value=0) == got.offset).all()
+
+
+def test_plan_is_best_fit_decreasing():
+    for _ in range(40):
+        counts = dict(collections.Counter(rng.randint(1, 100) for _ in range(rng.randint(1, 200))))
+        gaps = []
+        for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
+            fit = min((g for g in gaps if g >= size), default=None)
+            gaps.remove(fit) if fit is not None else None
+            gaps.append((100 if fit is None else fit) - size)
+        moves = packing.plan(counts, 100)
+        assert sum(m[2] for m in moves) == sum(counts.values())
+        assert max(m[3] + m[2] for m in moves) == len(gaps)
+
+
+def test_neighbours(spark):
+    x = np.random.default_rng(1).normal(size=(300, 16)).round(2)
+    vectors = [(k, v.tolist()) for k, v in enumerate(x)] + [(k + 400, x[100].tolist()) for k in range(30)]
+    odd = [(900, None), (1000, [0.0] * 16), (1001, [None] + [1.0] * 15), (1100, [float("nan")] * 16), (1200, [1.0, 2.0]), (1300, [1.0, 3.0])]
+    table = neighbours.usable(spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(table, table.where("vec_id % 100 = 0")).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    good = {k: v for k, v in [*vectors, (1200, [1.0, 2.0]), (1300, [1.0, 3.0])]}
+    want = {}
+    for q in (k for k in good if k % 100 == 0):
+        best = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(good[q], v))), k) for k, v in good.items() if k != q and len(v) == len(good[q]))[:10]
+        want[q] = [(k, pytest.approx(s)) for s, k in best]
+    assert dict(got) == want
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for made in (classifier.scores(empty, labels), suffix_dedup.digests(empty), quality_rules.verdicts(empty), bpe.round_trip(empty), licences.scan(empty), pii.listed(empty), jaccard_join.groups(empty), ctw.scores(empty), packing.packed(empty)):
+        assert made.count() == 0
+    none = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert neighbours.nearest(none, none).count() == 0
+
+
+def test_null_ids(spark):
+    odd = spark.createDataFrame([(None, "some words here"), (None, None), (3, "some words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    for made in (classifier.scores(odd, labels), suffix_dedup.digests(odd), quality_rules.verdicts(odd), bpe.round_trip(odd), licences.scan(odd), pii.listed(odd), jaccard_join.groups(odd), ctw.scores(odd), packing.packed(odd)):
+        assert made.count() == 3
