@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from fernpath.llm.lexicon import Lexicon, compiled
 
 #: Words in the lexicon: the most frequent ones of the corpus. It bounds what is broadcast; no id depends on it.
 LEXICON_WORDS = 50_000
-#: Pieces of more symbols than this are merged by the library, whose cost does not grow with the square of the length.
-LONG_PIECE = 64
+#: Chunks of more bytes than this are left to the library.
+LONG_PIECE = 256
+#: A byte that UTF-8 never has.
+END_MARK = b"\xff"
 #: Chunks with characters from here on are left to the library, so that no two Unicode tables can disagree.
 FIRST_LEFT = "ɐ"
 
@@ -41,27 +44,27 @@ def byte_names() -> list[str]:
 
 
 class Merger:
-    """Applies a vocabulary's merges to words: always the pair of lowest rank, leftmost first."""
+    """Applies a vocabulary's merges to words: always the pair of lowest rank, leftmost first. Ids are in order of the merges.
+
+    Where the vocabulary marks the ends of words, a byte that no text has stands for the mark.
+    """
 
     def __init__(self, path: str):
         with open(path) as file:
             model = json.load(file)["model"]
-        vocab, names = model["vocab"], byte_names()
-        self.byte_id = [vocab[names[b]] for b in range(256)]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(vocab[a] << 20) | vocab[b]: (rank << 20) | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        back, end = {c: b for b, c in enumerate(byte_names())}, model.get("end_of_word_suffix") or ""
+        ranks = {}
+        for token, i in model["vocab"].items():
+            last = bool(end) and token.endswith(end)
+            body = token[: len(token) - len(end)] if last else token
+            if all(c in back for c in body):
+                ranks[bytes(back[c] for c in body) + END_MARK * last] = i
+        self.end = END_MARK if end else b""
+        self.core = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def piece(self, data: bytes) -> list[int]:
-        ids, rank, never = [self.byte_id[b] for b in data], self.rank, 1 << 60
-        while len(ids) > 1:
-            found = [rank.get((a << 20) | b, never) for a, b in zip(ids, ids[1:])]
-            best = min(found)
-            if best == never:
-                break
-            at = found.index(best)
-            ids[at : at + 2] = [best & 0xFFFFF]
-        return ids
+        return self.core.encode_single_piece(data + self.end)
 
 
 def _split(text: str) -> list[str]:

@@ -25,8 +25,21 @@ def load(path: str):
     return found
 
 
+class _Numbers(dict):
+    """Chunks in order of their first appearance; `new` lists those seen since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
-    """Ids of texts as numpy arrays. `pieces` splits a text so that ids of the parts, put together, are those of the whole."""
+    """Ids of texts as numpy arrays. `split` parts a text so that ids of the parts, put together, are those of the whole."""
 
     def __init__(self, tokenizer, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]):
         self.tokenizer, self.split, self.encode = tokenizer, split, encode
@@ -34,7 +47,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.first, self.ids = array("q", [0]), array("I")
 
     def whole(self, text: str) -> bool:
@@ -43,22 +56,21 @@ class Encoder:
     def block(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > MOST_CHUNKS:
             self.clear()
-        number, parts = self.number, []
+        number, places = self.number, []
         for text in texts:
-            parts.append(None if self.whole(text) else self.split(text))
-        new = list(dict.fromkeys(c for p in parts if p for c in p if c not in number))
-        for chunk, ids in zip(new, self.encode(new) if new else [], strict=True):
-            number[chunk] = len(self.first) - 1
+            chunks = None if self.whole(text) else self.split(text)
+            places.append(None if chunks is None else np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)))
+        for ids in self.encode(number.new) if number.new else []:
             self.ids.extend(ids)
             self.first.append(len(self.ids))
+        number.new.clear()
         first, ids = np.frombuffer(self.first, np.int64).copy(), np.frombuffer(self.ids, np.uint32).copy() if self.ids else np.zeros(0, np.uint32)
         size = np.diff(first)
         found = []
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
+        for text, at in zip(texts, places, strict=True):
+            if at is None:
                 found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(number.__getitem__, p), np.int64, len(p))
             n = size[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0

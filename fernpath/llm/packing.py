@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernpath.llm.bpe import FIRST_LEFT
+from fernpath.llm.bpe import FIRST_LEFT, LONG_PIECE, Merger
 from fernpath.llm.chunks import Encoder, load
 from fernpath.llm.common import blocks, out, raw, stash, table
 
@@ -78,7 +78,7 @@ class WordEncoder:
     """Ids of white-space chunks in a vocabulary of lower-case words: its pattern parts a chunk, equal parts are encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
+        self.tokenizer, self.merger, self.known = load(path), Merger(path), {}
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -87,12 +87,22 @@ class WordEncoder:
     def __call__(self, chunks: list[str]) -> list[list[int]]:
         if len(self.known) > MOST_PARTS:
             self.known.clear()
-        known, low = self.known, [c.lower() for c in chunks]
-        # what other Unicode tables might see otherwise is left to the library as it is
-        parts = [[chunk] if max(c) >= FIRST_LEFT else self.find(c) for chunk, c in zip(chunks, low, strict=True)]
-        new = list(dict.fromkeys(p for own in parts for p in own if p not in known))
-        known.update(zip(new, self._ids(new), strict=True))
-        return [known[own[0]] if len(own) == 1 else [i for p in own for i in known[p]] for own in parts]
+        known, piece, found, left = self.known, self.merger.piece, [], []
+        for k, chunk in enumerate(chunks):
+            low = chunk.lower()
+            if max(low) >= FIRST_LEFT or len(low) > LONG_PIECE:
+                left.append(k)  # long chunks, and what other Unicode tables might see otherwise, are left to the library
+                found.append([])
+                continue
+            ids: list[int] = []
+            for part in self.find(low):
+                if (own := known.get(part)) is None:
+                    own = known[part] = piece(part.encode())
+                ids += own
+            found.append(ids)
+        for k, ids in zip(left, self._ids([chunks[k] for k in left]) if left else [], strict=True):
+            found[k] = ids
+        return found
 
 
 def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
