@@ -3,7 +3,9 @@
 Texts with equal sets are one class. A class is indexed by a prefix of its shingles in a fixed order: rare shingles one by one,
 frequent ones by pairs that fall in the same cell, since one frequent shingle says little. The prefix is extended until no more
 shingles than two similar sets may differ by can spoil all of its entries, so that similar sets share an entry. Classes that share
-one are candidates; each is first compared with one leader, and then all those that no link has brought together yet are verified.
+one are candidates; each is first compared with one leader, the one that shares most. Those that no link has brought together yet are
+paired if few share the entry. If many do, they are indexed once more, by how they differ from the leader: the differences are
+dealt into more parts than two similar sets can differ in, so that similar sets agree in a part that is not empty.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernpath.llm.common import blocks, out, raw, stash, table
@@ -26,6 +28,12 @@ FREQUENT, MOST_FREQUENT = 40, 500_000
 MOST_IDS = 2_000_000
 #: A cell holds this many frequent shingles of a set that has just reached the cell's size class.
 CELL = 6
+#: Up to so many classes that share an entry are paired one by one; beyond it their differences from the leader are indexed.
+FEW = 16
+#: Leaders' sets with up to so many shingles in all are sent to all tasks; beyond it they are joined.
+MOST_LEAD_TOKENS = 4_000_000
+#: Differences are dealt into this many numbers of parts, each twice the one before, and last of all one by one.
+LEVELS = 4
 
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -124,6 +132,25 @@ class Scheme:
         return np.unique(np.concatenate(found))
 
 
+    def apart(self, n: int) -> int:
+        """Two similar sets, one of them with n shingles, differ in at most so many."""
+        return (100 - self.percent) * (n + 100 * n // self.percent) // (100 + self.percent)
+
+    def levels(self, low: int, high: int) -> list[int]:
+        """Numbers of parts that sets which differ in `low` to `high` places may need; 0 stands for one part each."""
+        return [*(1 << k for k in range(low.bit_length(), high.bit_length() + LEVELS)), 0]
+
+    @staticmethod
+    def parts(differ: np.ndarray, level: int, salt: np.uint64) -> np.ndarray:
+        """Hashes of the parts that are not empty, with all that is in them."""
+        if not level or not len(differ):
+            return _mix(_mix(differ) + salt)
+        part = (differ >> np.uint64(7)) % np.uint64(level)
+        by = np.argsort(part, kind="stable")
+        first = np.nonzero(np.concatenate(([True], part[by][1:] != part[by][:-1])))[0]
+        return _mix(np.add.reduceat(_mix(differ[by]), first) * _B + _mix(part[by][first] + np.uint64(level) * _A) + salt)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -195,17 +222,75 @@ def _near(percent: int) -> callable:
     return run
 
 
+def _full(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id and all tokens of the documents wanted."""
+    wanted = stash(wanted, "wanted")
+    if wanted.count() <= MOST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return stash(sets(texts, width, None).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "full")
+
+
+def _differences(scheme: Scheme) -> callable:
+    """Rows (key, lc, c, n, d, root, most): a part of a set's d differences from its leader.
+
+    Rows with most = 0 are what a set can be found by; with most > 0, what it looks for: the `most` least common of them suffice.
+    A set that is not similar to the leader shares a difference with each similar set, and if its differences fill more parts
+    than two similar sets differ in, a whole part.
+    """
+    schema = pa.schema([("key", pa.int64()), ("lc", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("root", pa.int64()), ("most", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part, made = batch.slice(start, 100), []
+                for lead, c, root, seeks, x, y in zip(*(part.column(k).to_pylist() for k in ("lc", "c", "root", "seeks")), part.column("x"), part.column("y"), strict=True):
+                    x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                    differ, n, salt = np.setxor1d(x, y, assume_unique=True), len(x), np.uint64(lead & (2**64 - 1))
+                    low, high = scheme.apart(scheme.percent * n // 100), scheme.apart(100 * n // scheme.percent + 1)
+                    for level in scheme.levels(low, high):
+                        made.append((scheme.parts(differ, level, salt), lead, c, n, len(differ), root, 0))
+                    if seeks:
+                        most = scheme.apart(n) + 1
+                        for level in scheme.levels(most - 1, most - 1):
+                            if len(sought := scheme.parts(differ, level, salt)) >= most or not level:
+                                made.append((sought, lead, c, n, len(differ), root, most))
+                                break
+                size = [len(m[0]) for m in made]
+                keys = _signed(np.concatenate([m[0] for m in made]))
+                yield out(schema, keys, *(np.repeat(np.array(column, np.int64), size) for column in list(zip(*made, strict=True))[1:]))
+
+    return run
+
+
+def _apart(docs: DataFrame, member: DataFrame, classes: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """Candidates (a, b) among classes c that have a leader lc; those with `seeks` have no link to it. member: lc, c, root, seeks."""
+    member = stash(member, "member")
+    rep = classes.select(F.col("lo").alias("c"), F.col("rep").alias("doc_id")).dropDuplicates(["c"])
+    rep = stash(rep.join(member.select("c").union(member.select("lc")).distinct(), "c", "left_semi"), "reps")
+    tokens = rep.join(_full(docs, rep.select("doc_id").distinct(), width), "doc_id").select("c", "tokens")
+    lead = stash(tokens.join(member.select(F.col("lc").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("lc"), F.col("tokens").alias("y")), "leaders")
+    if (lead.agg(F.sum(F.size("y")).alias("n")).first().n or 0) <= MOST_LEAD_TOKENS:
+        lead = F.broadcast(lead)
+    rows = member.join(tokens.withColumnRenamed("tokens", "x"), "c").join(lead, "lc").select("lc", "c", "root", "seeks", "x", "y")
+    rows = stash(rows.mapInArrow(_differences(scheme), "key long, lc long, c long, n long, d long, root long, most long"), "differences")
+    found, sought = rows.where("most = 0").select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("root").alias("rb")), rows.where("most > 0")
+    times = found.join(sought.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    # parts that no other set has come first, and need no looking for
+    least = Window.partitionBy("c", "lc").orderBy(F.coalesce("times", F.lit(1)), "key")
+    sought = sought.join(times, "key", "left").withColumn("place", F.row_number().over(least)).where("place <= most and times is not null")
+    percent = scheme.percent
+    near = f"100 * least(n, nb) >= {percent} * greatest(n, nb) and {100 + percent} * abs(d - db) <= {100 - percent} * (n + nb)"
+    return sought.join(found, "key").where(f"root <> rb and {near}").select(F.col("c").alias("a"), "b")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, stored: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of digests those, as (a, b) of the classes' smallest doc_ids, whose sets are similar enough."""
     node = stored.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["hi", "lo", "doc_id"]).select("lo", "doc_id", "n", "sketch")
     pairs = pairs.join(node.withColumnsRenamed({"lo": "a", "doc_id": "ra", "n": "nx", "sketch": "x"}), "a").drop("a")
     pairs = pairs.join(node.withColumnsRenamed({"lo": "b", "doc_id": "rb", "n": "ny", "sketch": "y"}), "b").drop("b")
     pairs = stash(pairs.mapInArrow(_near(percent), "ra long, rb long").distinct(), "pairs")
-    wanted = stash(pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct(), "wanted")
-    if wanted.count() <= MOST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    full = stash(sets(texts, width, None).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "full")
+    full = _full(docs, pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct(), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -239,22 +324,29 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     often = counted.groupBy("t").count().where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "t").limit(MOST_FREQUENT)
     shared = spark.sparkContext.broadcast(np.sort(often.select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)))
     index = stored.where(f"n >= {scheme.least}").select("n", "lo", "tokens").mapInArrow(_entries(scheme, shared), "entry long, c long, n long")
-    # entries that more than one class has, with the smallest class as leader
-    leads = index.groupBy("entry").agg(F.min(F.struct("n", "c")).alias("first"), F.max(F.struct("n", "c")).alias("last")).where("first <> last")
-    met = index.join(leads.selectExpr("entry", "first.n as ln", "first.c as lc"), "entry").distinct()
-    met = stash(met, "met")
-    close = f"100 * ln >= {percent} * n"
-    tried = met.where(f"c <> lc and {close}").select(F.col("lc").alias("a"), F.col("c").alias("b")).distinct()
+    # entries that more than one class has; that which shares most leads
+    many = index.groupBy("entry").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last")
+    met = stash(index.join(many.select("entry"), "entry", "left_semi").distinct(), "met")
+    times = met.groupBy("entry").agg(F.count("*").alias("times"))
+    weight = stash(met.join(times, "entry").groupBy("c").agg(F.sum("times").alias("weight")), "weight")
+    leads = met.join(weight, "c").groupBy("entry").agg(F.max(F.struct("weight", "c", "n")).alias("lead"), F.count("*").alias("times"))
+    leads = stash(leads.select("entry", "times", F.col("lead.c").alias("lc"), F.col("lead.n").alias("ln")), "leads")
+    close = f"100 * least(n, ln) >= {percent} * greatest(n, ln)"
+    tried = met.join(leads, "entry").where(f"c <> lc and {close}").select(F.least("c", "lc").alias("a"), F.greatest("c", "lc").alias("b")).distinct()
     first = _verify(docs, tried, classes, stored, width, percent)
     label = components(first)
     # classes that are still apart although they share an entry; the largest side of an entry is never paired with itself
-    root = classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("lo").alias("c"), F.coalesce("label", "rep").alias("root")).dropDuplicates(["c"])
-    placed = met.select("entry", "c", "n").join(root, "c")
+    root = stash(classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("lo").alias("c"), F.coalesce("label", "rep").alias("root")).dropDuplicates(["c"]), "root")
+    placed = met.join(root, "c")
     sides = placed.groupBy("entry", "root").count().groupBy("entry").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("sides")).where("sides > 1")
-    placed = stash(placed.join(sides.select("entry", "main"), "entry"), "placed")
-    few = placed.where("root <> main").select("entry", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    every = placed.select("entry", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    apart = few.join(every, "entry").where(f"ra <> rb and (rb = main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    placed = stash(placed.join(sides.select("entry", "main"), "entry").join(leads.select("entry", "times", "lc"), "entry"), "placed")
+    little = placed.where(f"times <= {FEW}")
+    few = little.where("root <> main").select("entry", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    every = little.select("entry", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
+    apart = few.join(every, "entry").where(f"ra <> rb and (rb = main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    member = placed.where(f"times > {FEW}").select("lc", "c", "root").distinct()
+    member = member.join(root.select(F.col("c").alias("lc"), F.col("root").alias("top")), "lc").select("lc", "c", "root", (F.col("root") != F.col("top")).alias("seeks"))
+    apart = apart.union(_apart(docs, member, classes, scheme, width))
     second = _verify(docs, apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, stored, width, percent)
     node = components(first.union(second)).withColumnsRenamed({"node": "rep"})
     rows = stored.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left").join(node, "rep", "left")

@@ -188,6 +188,27 @@ def test_jaccard_join(docs, rows, width, percent, frequent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("width, percent, few", [(3, 90, 0), (3, 90, 16), (5, 80, 0), (3, 70, 1)])
+def test_jaccard_join_of_many_near_copies(spark, width, percent, few, monkeypatch):
+    """A group of near copies of which some are similar enough and most are not, with chains, cuts and additions."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    base, texts = [f"w{k}" for k in range(150)], {}
+    for i in range(260):
+        words = list(base) if i % 5 or not texts else texts[rng.choice(list(texts))].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 12])):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[f"x{rng.randrange(40)}"], [], [words[k], "again"], ["same"]])
+        texts[i] = " ".join(words[: rng.choice([len(words)] * 4 + [135, 120])])
+    sets = {i: frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) for i, w in ((i, t.split()) for i, t in texts.items())}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    found = jaccard_join.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width, percent)
+    assert {r.doc_id: r.component_id for r in found.collect()} == label
+
+
 def test_context_tree(docs, rows, monkeypatch):
     train = [(t or "").encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     words = collections.Counter(w for t in train for w in t.split())
