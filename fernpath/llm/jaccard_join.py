@@ -30,6 +30,8 @@ MOST_IDS = 2_000_000
 CELL = 6
 #: Up to so many classes that share an entry are paired one by one; beyond it their differences from the leader are indexed.
 FEW = 16
+#: A set that differs from its leader in more than so many hundredths of its size is not looked for by its differences.
+FAR = 80
 #: Leaders' sets with up to so many shingles in all are sent to all tasks; beyond it they are joined.
 MOST_LEAD_TOKENS = 4_000_000
 #: Differences are dealt into this many numbers of parts, each twice the one before, and last of all one by one.
@@ -236,7 +238,8 @@ def _differences(scheme: Scheme) -> callable:
 
     Rows with most = 0 are what a set can be found by; with most > 0, what it looks for: the `most` least common of them suffice.
     A set that is not similar to the leader shares a difference with each similar set, and if its differences fill more parts
-    than two similar sets differ in, a whole part.
+    than two similar sets differ in, a whole part. A set far from its leader has one row with most = -1 instead, and sets that
+    are not similar to any nearer one cannot be found.
     """
     schema = pa.schema([("key", pa.int64()), ("lc", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("root", pa.int64()), ("most", pa.int64())])
 
@@ -248,14 +251,19 @@ def _differences(scheme: Scheme) -> callable:
                     x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                     differ, n, salt = np.setxor1d(x, y, assume_unique=True), len(x), np.uint64(lead & (2**64 - 1))
                     low, high = scheme.apart(scheme.percent * n // 100), scheme.apart(100 * n // scheme.percent + 1)
-                    for level in scheme.levels(low, high):
+                    most_n = 100 * n // scheme.percent + 1  # the largest similar set, and how far it may be from the leader
+                    for level in scheme.levels(low, high) if len(differ) <= FAR * most_n // 100 + scheme.apart(most_n) + 1 else []:
                         made.append((scheme.parts(differ, level, salt), lead, c, n, len(differ), root, 0))
-                    if seeks:
+                    if seeks and len(differ) > FAR * n // 100:
+                        made.append((np.zeros(1, np.uint64), lead, c, n, len(differ), root, -1))
+                    elif seeks:
                         most = scheme.apart(n) + 1
                         for level in scheme.levels(most - 1, most - 1):
                             if len(sought := scheme.parts(differ, level, salt)) >= most or not level:
                                 made.append((sought, lead, c, n, len(differ), root, most))
                                 break
+                if not made:
+                    continue
                 size = [len(m[0]) for m in made]
                 keys = _signed(np.concatenate([m[0] for m in made]))
                 yield out(schema, keys, *(np.repeat(np.array(column, np.int64), size) for column in list(zip(*made, strict=True))[1:]))
@@ -263,8 +271,11 @@ def _differences(scheme: Scheme) -> callable:
     return run
 
 
-def _apart(docs: DataFrame, member: DataFrame, classes: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """Candidates (a, b) among classes c that have a leader lc; those with `seeks` have no link to it. member: lc, c, root, seeks."""
+def _apart(docs: DataFrame, member: DataFrame, classes: DataFrame, scheme: Scheme, width: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) among classes c that have a leader lc; those with `seeks` have no link to it. member: lc, c, root, seeks.
+
+    Beside them (lc, c) of those that are far from their leader, for which nothing was sought.
+    """
     member = stash(member, "member")
     rep = classes.select(F.col("lo").alias("c"), F.col("rep").alias("doc_id")).dropDuplicates(["c"])
     rep = stash(rep.join(member.select("c").union(member.select("lc")).distinct(), "c", "left_semi"), "reps")
@@ -281,7 +292,7 @@ def _apart(docs: DataFrame, member: DataFrame, classes: DataFrame, scheme: Schem
     sought = sought.join(times, "key", "left").withColumn("place", F.row_number().over(least)).where("place <= most and times is not null")
     percent = scheme.percent
     near = f"100 * least(n, nb) >= {percent} * greatest(n, nb) and {100 + percent} * abs(d - db) <= {100 - percent} * (n + nb)"
-    return sought.join(found, "key").where(f"root <> rb and {near}").select(F.col("c").alias("a"), "b")
+    return sought.join(found, "key").where(f"root <> rb and {near}").select(F.col("c").alias("a"), "b"), rows.where("most = -1").select("lc", "c", F.lit(True).alias("far"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, stored: DataFrame, width: int, percent: int) -> DataFrame:
@@ -346,7 +357,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     apart = few.join(every, "entry").where(f"ra <> rb and (rb = main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
     member = placed.where(f"times > {FEW}").select("lc", "c", "root").distinct()
     member = member.join(root.select(F.col("c").alias("lc"), F.col("root").alias("top")), "lc").select("lc", "c", "root", (F.col("root") != F.col("top")).alias("seeks"))
-    apart = apart.union(_apart(docs, member, classes, scheme, width))
+    met_again, far = _apart(docs, member, classes, scheme, width)
+    large = placed.where(f"times > {FEW}").join(far, ["lc", "c"], "left")
+    distant = large.where("far").select("entry", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    others = large.select("entry", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "far")
+    distant = distant.join(others, "entry").where(f"ra <> rb and (far is null or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    apart = apart.union(met_again).union(distant)
     second = _verify(docs, apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, stored, width, percent)
     node = components(first.union(second)).withColumnsRenamed({"node": "rep"})
     rows = stored.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left").join(node, "rep", "left")
