@@ -188,10 +188,9 @@ def test_jaccard_join(docs, rows, width, percent, frequent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width, percent, few", [(3, 90, 0), (3, 90, 16), (5, 80, 0), (3, 70, 1)])
-def test_jaccard_join_of_many_near_copies(spark, width, percent, few, monkeypatch):
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_jaccard_join_of_many_near_copies(spark, width, percent):
     """A group of near copies of which some are similar enough and most are not, with chains, cuts and additions."""
-    monkeypatch.setattr(jaccard_join, "FEW", few)
     base, texts = [f"w{k}" for k in range(150)], {}
     for i in range(260):
         words = list(base) if i % 5 or not texts else texts[rng.choice(list(texts))].split()
