@@ -18,32 +18,32 @@ _N = rb"[^0-9a-z\x80-\xff]"
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Licence families: keyword, names, versions, and the form of the label.
+# Licence families: names, versions, and the form of the label.
 FAMILIES = [
-    ("gnu", ["gnu general public license", "gnu gpl", "gpl", "gplv"], ["1", "2", "3", "1.0", "2.0", "3.0"], "gpl-{}"),
-    ("lesser", ["gnu lesser general public license", "lesser gpl", "lesser general public license"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
-    ("lgpl", ["gnu lgpl", "lgpl", "lgplv"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
-    ("affero", ["gnu affero general public license", "affero gpl", "affero general public license"], ["1", "3", "3.0"], "agpl-{}"),
-    ("agpl", ["gnu agpl", "agpl", "agplv"], ["1", "3", "3.0"], "agpl-{}"),
-    ("apache", ["apache license", "apache software license", "apache"], ["1.0", "1.1", "2", "2.0"], "apache-{}"),
-    ("mozilla", ["mozilla public license", "mozilla public licence"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
-    ("mpl", ["mpl"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
-    ("eclipse", ["eclipse public license", "eclipse distribution license"], ["1.0", "2.0"], "epl-{}"),
-    ("boost", ["boost software license", "boost license"], ["1.0"], "bsl-{}"),
-    ("artistic", ["artistic license", "perl artistic license"], ["1.0", "2.0"], "artistic-{}"),
-    ("european", ["european union public licence", "european union public license"], ["1.0", "1.1", "1.2"], "eupl-{}"),
-    ("common", ["common public license", "common development and distribution license"], ["1.0", "1.1"], "cpl-{}"),
-    ("microsoft", ["microsoft public license", "microsoft reciprocal license"], ["1.0"], "mspl-{}"),
-    ("academic", ["academic free license", "open software license"], ["1.1", "2.0", "2.1", "3.0"], "afl-{}"),
-    ("cc by", ["cc by", "creative commons attribution"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-{}"),
-    ("cc by", ["cc by-sa", "creative commons attribution-sharealike"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-sa-{}"),
-    ("cc by", ["cc by-nc", "creative commons attribution-noncommercial"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-{}"),
-    ("cc by", ["cc by-nd", "creative commons attribution-noderivs"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nd-{}"),
-    ("cc by", ["cc by-nc-sa"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-sa-{}"),
-    ("cc by", ["cc by-nc-nd"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-nd-{}"),
-    ("creative", ["creative commons zero", "creative commons cc0"], ["1.0"], "cc0-{}"),
+    (["gnu general public license", "gnu gpl", "gpl", "gplv"], ["1", "2", "3", "1.0", "2.0", "3.0"], "gpl-{}"),
+    (["gnu lesser general public license", "lesser gpl", "lesser general public license"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
+    (["gnu lgpl", "lgpl", "lgplv"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
+    (["gnu affero general public license", "affero gpl", "affero general public license"], ["1", "3", "3.0"], "agpl-{}"),
+    (["gnu agpl", "agpl", "agplv"], ["1", "3", "3.0"], "agpl-{}"),
+    (["apache license", "apache software license", "apache"], ["1.0", "1.1", "2", "2.0"], "apache-{}"),
+    (["mozilla public license", "mozilla public licence"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
+    (["mpl"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
+    (["eclipse public license", "eclipse distribution license"], ["1.0", "2.0"], "epl-{}"),
+    (["boost software license", "boost license"], ["1.0"], "bsl-{}"),
+    (["artistic license", "perl artistic license"], ["1.0", "2.0"], "artistic-{}"),
+    (["european union public licence", "european union public license"], ["1.0", "1.1", "1.2"], "eupl-{}"),
+    (["common public license", "common development and distribution license"], ["1.0", "1.1"], "cpl-{}"),
+    (["microsoft public license", "microsoft reciprocal license"], ["1.0"], "mspl-{}"),
+    (["academic free license", "open software license"], ["1.1", "2.0", "2.1", "3.0"], "afl-{}"),
+    (["cc by", "creative commons attribution"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-{}"),
+    (["cc by-sa", "creative commons attribution-sharealike"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-sa-{}"),
+    (["cc by-nc", "creative commons attribution-noncommercial"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-{}"),
+    (["cc by-nd", "creative commons attribution-noderivs"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nd-{}"),
+    (["cc by-nc-sa"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-sa-{}"),
+    (["cc by-nc-nd"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-nd-{}"),
+    (["creative commons zero", "creative commons cc0"], ["1.0"], "cc0-{}"),
 ]
-# Rules without a version: keyword, pattern, label, weight.
+# Rules without a version: keywords (parted by bars) of which every match contains one, pattern, label, weight.
 PLAIN = [
     ("mit", r"mit license", "mit", 0.9), ("mit", r"(?:licensed|released|distributed|available) under (?:the )?mit", "mit", 0.95),
     ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person", "mit", 1.0),
@@ -58,10 +58,10 @@ PLAIN = [
     ("apache", r"apache license", "apache", 0.8), ("general public", r"general public licen[sc]e", "gpl", 0.8),
     ("lesser", r"lesser general public licen[sc]e", "lgpl", 0.85), ("affero", r"affero general public licen[sc]e", "agpl", 0.85),
     ("mozilla", r"mozilla public licen[sc]e", "mpl", 0.85), ("eclipse", r"eclipse public licen[sc]e", "epl", 0.85),
-    ("creative", r"creative commons", "cc", 0.6), ("cc0", r"cc0", "cc0", 0.9), ("ofl", r"sil open font license", "ofl", 0.95),
+    ("creative", r"creative commons", "cc", 0.6), ("cc0", r"cc0", "cc0", 0.9), ("sil open font license", r"sil open font license", "ofl", 0.95),
     ("all rights reserved", r"all rights reserved", "all-rights-reserved", 0.6), ("proprietary", r"proprietary and confidential", "proprietary", 0.8),
     ("spdx", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", "spdx:{}", 1.0),
-    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)[0-9]{2}", "copyright", 0.4),
+    ("copyright|(c)|©", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)[0-9]{2}", "copyright", 0.4),
     ("unauthorized", r"unauthorized (?:copying|use|reproduction)", "proprietary", 0.7),
 ]
 
@@ -69,7 +69,7 @@ PLAIN = [
 @dataclass(frozen=True)
 class Rule:
     priority: int
-    keyword: bytes
+    needs: tuple[tuple[bytes, ...], ...]  # every match of the pattern contains one string of each
     pattern: re.Pattern
     label: str
     weight: float
@@ -80,22 +80,28 @@ def rules() -> list[Rule]:
     found, bound = [], (f"(?<!{_W.decode('latin-1')})", f"(?!{_W.decode('latin-1')})")
     # each phrasing beats the next: an exact grant, the name with its version, the name in short
     for k, phrasing in enumerate((r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{0},? ?(?:\(?version|v\.?)? ?{1}", r"{0},? ?(?:\(?version|v\.?)? ?{1}(?: or later)?", r"{0}[- ]?{1}(?:-only|-or-later|\+)")):
-        for keyword, names, versions, label in FAMILIES:
+        for names, versions, label in FAMILIES:
             for name in names:
+                words = sorted(name.split(), key=len, reverse=True)
                 for version in versions:
                     body = phrasing.format(re.escape(name).replace("\\ ", r"\s+"), re.escape(version) + r"(?!\.?[0-9])")
-                    found.append(Rule(300 - 50 * k, keyword.encode(), re.compile((bound[0] + body).encode("latin-1")), label.format(version), 1.0))
-    for keyword, body, label, weight in PLAIN:
-        found.append(Rule(100, keyword.encode(), re.compile((bound[0] if body[0].isalnum() else "").encode("latin-1") + body.encode() + (bound[1] if body[-1].isalnum() else "").encode("latin-1")), label, weight))
+                    found.append(Rule(300 - 50 * k, tuple((w.encode(),) for w in [*words, version]), re.compile((bound[0] + body).encode("latin-1")), label.format(version), 1.0))
+    for keywords, body, label, weight in PLAIN:
+        found.append(Rule(100, (tuple(w.encode() for w in keywords.split("|")),), re.compile((bound[0] if body[0].isalnum() else "").encode("latin-1") + body.encode() + (bound[1] if body[-1].isalnum() else "").encode("latin-1")), label, weight))
     return sorted(found, key=lambda r: -r.priority)
 
 
 def detections(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) in bytes, by start. A detection that lies within a stronger one, or an earlier one as strong, is dropped."""
     kept: list[tuple[int, int, str, float]] = []
-    here = {k: k in low for k in {r.keyword for r in ordered}}
+    here: dict[tuple[bytes, ...], bool] = {}
     for rule in ordered:
-        if here[rule.keyword]:
+        for need in rule.needs:
+            if need not in here:
+                here[need] = any(w in low for w in need)
+            if not here[need]:
+                break
+        else:
             for m in rule.pattern.finditer(low):
                 if not any(a <= m.start() and m.end() <= b for a, b, _, _ in kept):
                     kept.append((m.start(), m.end(), rule.label.format(m[1].decode("utf-8", "replace") if m.re.groups else ""), rule.weight))
@@ -122,8 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = rules()
-        # a text without any of these fragments holds no rule's keyword
-        gates = _gates([r.keyword for r in ordered])
+        # a text without any of these fragments lacks a need of every rule
+        gates = _gates([w for r in ordered for w in r.needs[0]])
         for part in blocks(batches):
             rows = []
             for data in part.column("text").to_pylist():

@@ -134,6 +134,25 @@ def test_licence_suppression():
     assert labels(b"nothing to see") == []
 
 
+def test_licence_prefilter_loses_nothing():
+    ordered = licences.rules()
+    whole = [licences.Rule(r.priority, (), r.pattern, r.label, r.weight) for r in ordered]
+    names = [n.replace(" ", gap) for names, *_ in licences.FAMILIES for n in names for gap in (" ", "\n ")]
+    texts = [f"x released under the {n} {v} y" for n in names for v in ("1.0", "2.0", "v3", "4.0")] + [f"{n}-{v}-or-later" for n in names for v in ("2", "2.1", "3.0")]
+    texts += ["(c) 2020 someone", "© 1999 x", "copyright (c) 2001", "sil open font license", "nothing", "spdx-license-identifier: MIT"]
+    for low in (t.lower().encode() for t in texts):
+        assert licences.detections(low, ordered) == licences.detections(low, whole), low
+    labels = lambda t: {x[2] for x in licences.detections(t, ordered)}
+    assert labels(b"released under gplv3") == {"gpl-3"} and labels(b"gpl-2.0-or-later") == {"gpl-2.0"}
+    assert "cc-by-4.0" in labels(b"creative commons attribution 4.0") and labels(b"(c) 2020") == labels("© 2020".encode()) == {"copyright"}
+    assert labels(b"open software license 3.0") == {"afl-3.0"}
+
+
+def test_licence_prefilter_of_texts(spark):
+    found = by_id(licences.scan(spark.createDataFrame([(1, "Released under GPLv3"), (2, "(c) 2020"), (3, "SIL Open Font License"), (4, "no")], "doc_id long, text string")))
+    assert [found[k].labels for k in (1, 2, 3, 4)] == ["gpl-3", "copyright", "ofl", ""]
+
+
 _PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
