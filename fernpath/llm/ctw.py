@@ -3,6 +3,10 @@
 Every byte is eight binary decisions. A decision has a Krichevsky-Trofimov estimate in each context of 0 to DEPTH bytes before it;
 the weights with which those estimates mix follow from how well each context's own estimate coded the training texts against the
 mixture of the contexts below it. What training gathers are byte n-gram counts and word counts of all training texts.
+
+Contexts longer than TOP bytes are dealt over shards by the TOP + 1 bytes nearest, so that all that lies below such a context is in
+one shard. Texts are kept in blocks; a block asks each shard for the probabilities of the n-grams it holds, each of them once, and
+the same request brings the shard the block's training counts. Only the contexts of up to TOP bytes are worked out on the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernpath.llm.common import blocks, id_text, out, raw, stash, table
 
-#: Bytes of context. The counts have 256 ** (DEPTH + 1) keys at most, and that bounds what the driver gathers and sends out.
-DEPTH = 2
+#: Bytes of context in all: a byte and its context fit in 64 bits up to 7.
+DEPTH = 5
+#: Bytes of context up to which the tree is worked out on the driver: 256 ** TOP contexts at most.
+TOP = 2
+#: Bytes of text to a block, and about how many blocks there are to a shard.
+TEXT_BYTES, SHARE = 8 << 20, 4
 END = 0
 FOLDS, HELD_OUT = 5, 1
 #: The most frequent words are sent to all tasks; counts of all others are joined by the word's hash.
@@ -32,11 +41,11 @@ def held_out():
 
 
 def grams(low: bytes) -> np.ndarray:
-    """The number of each byte with the DEPTH bytes before it: the text, then an end; ends stand before the first byte."""
-    x = np.frombuffer(bytes([END]) * DEPTH + low + bytes([END]), np.uint8).astype(np.uint32)
-    code = x[: len(x) - DEPTH]
-    for k in range(1, DEPTH + 1):
-        code = (code << 8) | x[k : len(x) - DEPTH + k]
+    """The number of each byte with the TOP bytes before it: the text, then an end; ends stand before the first byte."""
+    x = np.frombuffer(bytes([END]) * TOP + low + bytes([END]), np.uint8).astype(np.uint32)
+    code = x[: len(x) - TOP]
+    for k in range(1, TOP + 1):
+        code = (code << 8) | x[k : len(x) - TOP + k]
     return code
 
 
@@ -45,11 +54,11 @@ def word_hash(word: bytes) -> int:
 
 
 def gather(texts: DataFrame) -> DataFrame:
-    """Rows (kind, key, n) of byte n-grams (kind 0) and hashed words (kind 1), summed over all texts given."""
+    """Rows (kind, key, n) of hashed words (kind 1) and ends (kind 2), summed over all texts given."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, words = np.zeros(256 ** (DEPTH + 1), np.int32), Counter()
+        words = Counter()
 
         def flush():
             found = out(schema, np.ones(len(words), np.int32), np.array([word_hash(w) for w in words], np.int64), np.fromiter(words.values(), np.int64, len(words)))
@@ -58,19 +67,12 @@ def gather(texts: DataFrame) -> DataFrame:
 
         ends = 0
         for part in blocks(batches):
-            codes = []
             for data in part.column("text").to_pylist():
-                low = data.lower()
-                words.update(low.split())
-                codes.append(grams(low))
+                words.update(data.lower().split())
                 ends += 1
-            key, n = np.unique(np.concatenate(codes), return_counts=True)
-            dense[key] += n.astype(np.int32)
             if len(words) > 300_000:
                 yield flush()
         yield flush()
-        key = np.nonzero(dense)[0]
-        yield out(schema, np.zeros(len(key), np.int32), key, dense[key])
         yield out(schema, [2], [0], [ends])
 
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -83,8 +85,10 @@ _WHOLE = np.array([math.lgamma(n + 1.0) for n in range(_SMALL)])
 
 def _log_gamma(n: np.ndarray, plus: float, known: np.ndarray) -> np.ndarray:
     x = n + plus
-    far = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
-    return np.where(n < _SMALL, known[np.minimum(n, _SMALL - 1).astype(np.int64)], far)
+    found, far = known[np.minimum(n, _SMALL - 1).astype(np.int64)], n >= _SMALL
+    x = x[far]
+    found[far] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return found
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,17 +108,20 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The weighted tree: for each context that occurred, log10 of the probability of each byte."""
+    """The weighted tree: for each context that occurred, log10 of the probability of each byte.
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
+    deeper: if there are longer contexts, what they give at the longest ones here, as log probabilities by context and decision.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, deeper: tuple[np.ndarray, np.ndarray] | None = None):
         context, byte = key >> 8, key & 255
         own, row = np.unique(context, return_inverse=True)
         counts = np.zeros((len(own), 256))
         np.add.at(counts, (row, byte), n)
         levels = [(own, counts)]  # from the longest contexts to the empty one
-        for _ in range(DEPTH):
+        for _ in range(TOP):
             # the context without its oldest byte: older bytes are the higher ones
-            length = DEPTH - len(levels) + 1
+            length = TOP - len(levels) + 1
             shorter, up = np.unique(levels[-1][0] & ((1 << (8 * (length - 1))) - 1), return_inverse=True)
             total = np.zeros((len(shorter), 256))
             np.add.at(total, up, levels[-1][1])
@@ -123,10 +130,16 @@ class Tree:
         for k, (contexts, total) in enumerate(levels):
             zeros, ones = _decisions(total)
             own_log = _log_kt(zeros, ones)
-            if below is None:
+            if below is None and deeper is not None:
+                split = np.zeros(own_log.size)
+                split[np.searchsorted(contexts, deeper[0] // 255) * 255 + deeper[0] % 255] = deeper[1]
+                split = split.reshape(own_log.shape)
+                mixed = np.logaddexp(own_log, split) - math.log(2)
+                stop = np.exp(own_log - math.log(2) - mixed)
+            elif below is None:
                 mixed, stop = own_log, np.ones_like(own_log)
             else:
-                mask = (1 << (8 * (DEPTH - k))) - 1
+                mask = (1 << (8 * (TOP - k))) - 1
                 split = np.zeros_like(own_log)
                 np.add.at(split, np.searchsorted(contexts, levels[k - 1][0] & mask), below)
                 mixed = np.logaddexp(own_log, split) - math.log(2)
@@ -135,14 +148,16 @@ class Tree:
             below = mixed
         self.contexts = [c for c, _ in levels]
         self.costs = [np.zeros(0)] * len(levels)
+        self.reach = [(np.zeros(0), np.zeros(0))] * len(levels)
         reach = None  # on the way from the empty context down: the weight not yet given, and the probability of a one so far
         for k in range(len(levels) - 1, -1, -1):
             stop, one = weight[k]
             if reach is None:
                 reach = (1 - stop, stop * one)
             else:
-                up = np.searchsorted(levels[k + 1][0], levels[k][0] & ((1 << (8 * (DEPTH - k - 1))) - 1))
+                up = np.searchsorted(levels[k + 1][0], levels[k][0] & ((1 << (8 * (TOP - k - 1))) - 1))
                 reach = (reach[0][up] * (1 - stop), reach[1][up] + reach[0][up] * stop * one)
+            self.reach[k] = reach
             # what is left goes to deeper contexts that never occurred, where both outcomes are alike
             self.costs[k] = self._bytes(reach[1] + reach[0] * 0.5)
 
@@ -159,16 +174,235 @@ class Tree:
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For every possible context the row of its longest known suffix, and the rows."""
-        every, first = np.zeros(256**DEPTH, np.int32), np.cumsum([0, *(len(c) for c in self.contexts)])
-        for k in range(DEPTH, -1, -1):
-            mask = (1 << (8 * (DEPTH - k))) - 1
-            suffix = np.arange(256**DEPTH) & mask
+        every, first = np.zeros(256**TOP, np.int32), np.cumsum([0, *(len(c) for c in self.contexts)])
+        for k in range(TOP, -1, -1):
+            mask = (1 << (8 * (TOP - k))) - 1
+            suffix = np.arange(256**TOP) & mask
             at = np.minimum(np.searchsorted(self.contexts[k], suffix), len(self.contexts[k]) - 1)
             known = self.contexts[k][at] == suffix
             every[known] = first[k] + at[known]
         return every, np.concatenate(self.costs).astype(np.float32)
 
 
+def _codes(texts: list[bytes]) -> np.ndarray:
+    """Each byte with the DEPTH bytes before it, the nearest in the highest place; the text, then an end, and ends before it."""
+    x = np.frombuffer(b"".join(bytes([END]) * DEPTH + t + bytes([END]) for t in texts), np.uint8)
+    place = np.arange(len(x), dtype=np.int64)
+    first = np.cumsum([0, *(len(t) + DEPTH + 1 for t in texts)])[:-1]
+    inside = np.ones(len(x), bool)
+    for k in range(DEPTH):
+        inside[first + k] = False
+    place = place[inside]
+    code = x[place].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        code |= x[place - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+    return code
+
+
+def _stretches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, lengths, codes): all texts at once, or a text longer than a block bit by bit."""
+    if len(texts) > 1 or len(texts[0]) <= TEXT_BYTES:
+        yield 0, np.array([len(t) + 1 for t in texts]), _codes(texts)
+        return
+    for start in range(0, len(texts[0]) + 1, TEXT_BYTES):
+        before = max(0, start - DEPTH)
+        code = _codes([texts[0][before : start + TEXT_BYTES]])[start - before :]
+        code = code if start + TEXT_BYTES > len(texts[0]) else code[:-1]
+        yield 0, np.array([len(code)]), code
+
+
+def _shard(code: np.ndarray, shards: int) -> np.ndarray:
+    near = code >> np.uint64(8 * (DEPTH - TOP))
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+
+
+def _pack(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending codes as differences, and counts, byte planes apart; compressed."""
+    step = np.diff(code, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    plain = step.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(code).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(plain, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    plain = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 12 * size, asbytes=True), np.uint8)
+    step = np.ascontiguousarray(plain[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
+    return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(plain[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, ascending and each once, with their counts summed."""
+    code, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in found]), len(code))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """A row for each block: number, and the doc_id, held_out and text of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary())]))
+        schema, number, rows, size = pa.schema([("block", pa.int64()), ("docs", kind)]), TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and size + len(row["text"]) > TEXT_BYTES:
+                    yield out(schema, [number], [rows])
+                    number, rows, size = number + 1, [], 0
+                rows.append(row)
+                size += len(row["text"]) + 1
+        if rows:
+            yield out(schema, [number], [rows])
+
+    return texts.mapInArrow(run, "block long, docs array<struct<doc_id:long,held_out:boolean,text:binary>>")
+
+
+def _requests(shards: int):
+    """From blocks: for each shard the codes that occur in the block, with their counts in training texts."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, docs in _rows(batches, "block", "docs"):
+            texts, found = [d["text"].lower() for d in docs], []
+            trains = np.array([not d["held_out"] for d in docs])
+            for _, length, code in _stretches(texts):
+                code = np.sort((code << np.uint64(1)) | np.repeat(trains, length).astype(np.uint64))
+                own = code >> np.uint64(1)
+                start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                found.append((own[start], np.add.reduceat((code & np.uint64(1)).astype(np.int64), start)))
+            code, n = found[0] if len(found) == 1 else _merged(found)
+            to = _shard(code, shards)
+            for k in np.unique(to).tolist():
+                yield out(schema, [k], [block], [_pack(code[to == k], n[to == k])])
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(name)[k].as_py() for name in names)
+
+
+class Deep:
+    """The part of the tree in one shard: contexts of TOP + 1 to DEPTH bytes. Codes with no count stand for what is only asked."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.levels = [(code, n.astype(np.float64), None)]  # with the number of the element that each becomes one level up
+        for _ in range(DEPTH - TOP - 1):
+            longer, count, _ = self.levels[-1]
+            shorter, up = np.unique(((longer >> np.uint64(16)) << np.uint64(8)) | (longer & np.uint64(255)), return_inverse=True)
+            self.levels[-1] = (longer, count, up)
+            self.levels.append((shorter, np.bincount(up, count, len(shorter)), None))
+        near = self.levels[-1][0] >> np.uint64(16)
+        self.context = (((near & np.uint64(255)) << np.uint64(8)) | (near >> np.uint64(8))).astype(np.int64)
+        self.byte = (self.levels[-1][0] & np.uint64(255)).astype(np.int64)
+
+    def _up(self, bit: int) -> tuple[list, np.ndarray]:
+        """Of the decisions on one bit, by level from the longest contexts: first elements, each element's node, weight of stopping and probability of a one."""
+        found, below = [], None
+        for k, (code, count, _) in enumerate(self.levels):
+            node = code >> np.uint64(8 - bit)
+            new = np.concatenate(([True], node[1:] != node[:-1]))
+            start, node = np.flatnonzero(new), np.cumsum(new) - 1
+            ones = np.add.reduceat(count * ((code >> np.uint64(7 - bit)) & np.uint64(1)), start)
+            total = np.add.reduceat(count, start)
+            own = _log_kt(total - ones, ones)
+            if below is None:
+                below, stop = own, np.ones_like(own)
+            else:
+                split = np.bincount(node[self.levels[k - 1][2][found[-1][0]]], below, len(start))
+                below = np.logaddexp(own, split) - math.log(2)
+                stop = np.exp(own - math.log(2) - below)
+            found.append((start, node, stop, (ones + 0.5) / (total + 1)))
+        return found, np.where(total > 0, below, 0.0)
+
+    def _decision(self, bit: int, at: np.ndarray) -> np.ndarray:
+        return (1 << bit) - 1 + (self.byte[at] >> (8 - bit))
+
+    def upward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the tree above needs: n-grams of TOP + 1 bytes and their counts; decisions there and the sum of what lies below them."""
+        gram, at = np.unique(self.context << 8 | self.byte, return_inverse=True)
+        n, keys, sums = np.bincount(at, self.levels[-1][1], len(gram)), [], []
+        for bit in range(8):
+            found, mixed = self._up(bit)
+            start = found[-1][0]
+            key, at = np.unique(self.context[start] * 255 + self._decision(bit, start), return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(at, mixed, len(key)))
+        key, total = np.concatenate(keys), np.concatenate(sums)
+        return gram[n > 0], n[n > 0], key[total != 0], total[total != 0]
+
+    def costs(self, every: np.ndarray, left: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code's byte, from the weight not yet given and the probability so far at the contexts of TOP bytes."""
+        cost = np.zeros(len(self.levels[0][0]))
+        for bit in range(8):
+            found, _ = self._up(bit)
+            start = found[-1][0]
+            row, decision = every[self.context[start]], self._decision(bit, start)
+            reach = left[row, decision], one[row, decision]
+            for k in range(len(found) - 1, -1, -1):
+                start, node, stop, part = found[k]
+                if k < len(found) - 1:
+                    up = found[k + 1][1][self.levels[k][2][start]]
+                    reach = reach[0][up], reach[1][up]
+                reach = reach[0] * (1 - stop), reach[1] + reach[0] * stop * part
+            ends = np.clip(reach[1] + reach[0] * 0.5, 1e-12, 1 - 1e-12)
+            ends = np.log10(np.stack([1 - ends, ends], axis=1))
+            cost += ends[found[0][1], ((self.levels[0][0] >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)]
+        return cost
+
+
+def _upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("x", pa.float64())])
+    for (parts,) in _rows(batches, "parts"):
+        gram, n, key, x = Deep(*_merged([_unpack(p["data"]) for p in parts])).upward()
+        yield out(schema, np.repeat([0, 1], [len(gram), len(key)]), np.concatenate([gram, key]), np.concatenate([n, x]))
+
+
+def _answers(shared):
+    """From shards: for each block the costs of the codes that it asked for, in their order."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in _rows(batches, "shard", "parts"):
+            asked = [(p["block"], _unpack(p["data"])) for p in parts]
+            code, n = _merged([x for _, x in asked])
+            cost = Deep(code, n).costs(*shared.value[:3]).astype(np.float32)
+            for block, (own, _) in asked:
+                yield out(schema, [block], [shard], [cost[np.searchsorted(code, own)].tobytes()])
+
+    return run
+
+
+def _block_scores(texts: list[bytes], answers: list[dict], shards: int) -> np.ndarray:
+    """The score of each text of a block."""
+    told = {a["shard"]: np.frombuffer(a["data"], np.float32) for a in answers}
+    sorts = []
+    for _, length, code in _stretches(texts):
+        order = np.argsort(code)
+        own = code[order]
+        new = np.concatenate(([True], own[1:] != own[:-1]))
+        sorts.append((own[new], order, np.cumsum(new, dtype=np.int32) - 1, length))
+    every = sorts[0][0] if len(sorts) == 1 else np.unique(np.concatenate([x[0] for x in sorts]))
+    cost, to, score = np.zeros(len(every), np.float32), _shard(every, shards), np.zeros(len(texts))
+    for k, values in told.items():
+        cost[to == k] = values
+    for own, order, at, length in sorts:
+        here = np.empty(len(order), np.float32)
+        here[order] = cost[np.searchsorted(every, own)][at]
+        score += np.add.reduceat(here.astype(np.float64), np.concatenate(([0], np.cumsum(length)[:-1])))
+    return score
+
+
+def top(shards: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each context of TOP bytes the row of its longest known suffix; by row and decision the weight not yet given and the probability of a one so far."""
+    sums = stash(shards.mapInArrow(_upward, "kind int, key long, x double").groupBy("kind", "key").agg(F.sum("x").alias("x")), "top")
+    gram, deeper = (sums.where(F.col("kind") == k).select("key", "x").toPandas() for k in (0, 1))  # 256 ** (TOP + 1) rows at most each
+    if not len(gram):
+        return np.zeros(256**TOP, np.int32), np.ones((1, 255)), np.zeros((1, 255))
+    tree = Tree(gram["key"].to_numpy(np.int64), gram["x"].to_numpy(np.float64), (deeper["key"].to_numpy(np.int64), deeper["x"].to_numpy(np.float64)))
+    return tree.table()[0], *(np.concatenate([r[k] for r in tree.reach]) for k in (0, 1))
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of documents.
 
@@ -176,28 +410,30 @@ def scores(docs: DataFrame) -> DataFrame:
     often as they occur. Without training texts every word is unknown and every byte's bits are even.
     """
     spark = docs.sparkSession
+    held = stash(_blocks(raw(docs, held_out().alias("held_out"))), "blocks")
+    shards = max(12, held.count() // SHARE)
+    asked = held.mapInArrow(_requests(shards), "shard int, block long, data binary").repartition(shards, "shard")
+    asked = stash(asked.groupBy("shard").agg(F.collect_list(F.struct("block", "data")).alias("parts")), "shards")
+    tree = top(asked)
     counts = stash(gather(raw(docs.where(~held_out()))), "counts")
-    tree = counts.where("kind = 0").select("key", "n").toPandas()  # 256 ** (DEPTH + 1) rows at most
-    every, cost = Tree(tree["key"].to_numpy(np.int64), tree["n"].to_numpy(np.float64)).table() if len(tree) else (np.zeros(256**DEPTH, np.int32), np.full((1, 256), 8 * math.log10(0.5), np.float32))
     words = counts.where("kind = 1").select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = (counts.where("kind = 2").agg(F.sum("n").alias("n")).first().n) or 0
     n_all, vocabulary = int(total.n) + int(ends), int(total.v) + (ends > 0)
     head = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toPandas().sort_values("key")
     bound = int(head["n"].min()) if len(head) else 0
-    shared = spark.sparkContext.broadcast((every, cost, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((*tree, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
     log_all = math.log10(n_all + 0.5 * (vocabulary + 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, cost, key, n = shared.value
+        key, n = shared.value[3:]
         part_of = dict(zip(key.tolist(), (np.log10(n + 0.5) - log_all).tolist(), strict=True))
-        flat, known = cost.reshape(-1), {}  # known: word -> its log probability, or None and its hash
+        known = {}  # word -> its log probability, or None and its hash
         end = math.log10(ends + 0.5) - log_all
-        for part in blocks(batches):
-            rows = []
-            for data in part.column("text").to_pylist():
-                low = data.lower()
+        for docs, told in _rows(batches, "docs", "told"):
+            rows, texts = [], [d["text"].lower() for d in docs]
+            for low, score in zip(texts, _block_scores(texts, told, shards).tolist(), strict=True):
                 words = low.split()
                 if len(known) > 300_000:
                     known.clear()
@@ -208,15 +444,12 @@ def scores(docs: DataFrame) -> DataFrame:
                 values = [known[w] for w in words]
                 rare = [v for v in values if type(v) is int]
                 frequent = [v for v in values if type(v) is float]
-                score = 0.0
-                for s in range(0, len(low) + 1, 1 << 20):  # the bytes of a stretch with their contexts; the end goes with the last
-                    stretch = grams(low) if len(low) < 1 << 20 else _stretch(low, s)
-                    score += float(flat[(every[stretch >> 8].astype(np.int64) << 8) | (stretch & 255)].sum(dtype=np.float64))
                 rows.append((len(words) + 1, len(frequent) + (ends > 0), math.fsum(frequent) + end, score, rare))
-            yield out(schema, part.column("doc_id"), part.column("held_out"), *zip(*rows, strict=True))
+            yield out(schema, [d["doc_id"] for d in docs], [d["held_out"] for d in docs], *zip(*rows, strict=True))
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    found = raw(docs, held_out().alias("held_out")).mapInArrow(run, fields)
+    told = asked.mapInArrow(_answers(shared), "block long, shard int, data binary").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
+    found = held.join(told, "block").select("docs", "told").mapInArrow(run, fields)
     if vocabulary <= HEAD_WORDS:  # then a word outside the head did not occur in training
         unknown = F.lit(math.log10(0.5) - log_all) * F.size("rare")
         return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).alias("train_tokens"), (F.col("base_score") + unknown).alias("base_score"), "score")
@@ -234,12 +467,5 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
 
-def _stretch(low: bytes, start: int, size: int = 1 << 20) -> np.ndarray:
-    """grams() of part of a long text: bytes start to start + size, and the end if it lies there."""
-    before = max(0, start - DEPTH)
-    codes = grams(low[before : start + size])[start - before :]
-    return codes if start + size > len(low) else codes[:-1]
-
-
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))

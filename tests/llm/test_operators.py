@@ -244,6 +244,55 @@ def test_context_tree(docs, rows, monkeypatch):
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def _plain_tree(train, depth):
+    """Counts and log2 of the mixtures of a context tree by (context, bits so far), the nearest byte first in the context."""
+    seen = collections.defaultdict(lambda: [0, 0])
+    for data in train:
+        padded = bytes(depth) + data + b"\0"
+        for k in range(depth, len(padded)):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    seen[padded[k - d : k][::-1], f"{padded[k]:08b}"[:bit]][int(f"{padded[k]:08b}"[bit])] += 1
+    kt, mixed = {}, collections.defaultdict(float)
+    lg, below = math.lgamma, collections.defaultdict(float)
+    for context, bits in sorted(seen, key=lambda x: -len(x[0])):
+        a, b = seen[context, bits]
+        own = kt[context, bits] = lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1) - math.log(math.pi)
+        mixed[context, bits] = own if len(context) == depth else float(np.logaddexp(own, below[context, bits])) - math.log(2)
+        below[context[:-1], bits] += mixed[context, bits] if context else 0
+    return seen, kt, mixed
+
+
+def _plain_score(data, tree, depth):
+    (seen, kt, mixed), total, padded = tree, 0.0, bytes(depth) + data + b"\0"
+    for k in range(depth, len(padded)):
+        for bit in range(8):
+            left, one, bits = 1.0, 0.0, f"{padded[k]:08b}"
+            for d in range(depth + 1):
+                at = padded[k - d : k][::-1], bits[:bit]
+                if at not in kt:
+                    break
+                stop = 1.0 if d == depth else math.exp(kt[at] - math.log(2) - mixed[at])
+                one += left * stop * (seen[at][1] + 0.5) / (sum(seen[at]) + 1)
+                left *= 1 - stop
+            one += left / 2
+            total += math.log10(one if bits[bit] == "1" else 1 - one)
+    return total
+
+
+@pytest.mark.parametrize("text_bytes", [300, 1 << 20])
+def test_context_tree_scores_every_depth(spark, text_bytes, monkeypatch):
+    monkeypatch.setattr(ctw, "TEXT_BYTES", text_bytes)
+    texts = [None, "", "abcdefg", "a\0b é", "the quiet river reads the quiet river", "x" * 700] + [" ".join(rng.choices(["banana", "bandana", "cabana", "anna", "The"], k=rng.randint(1, 30))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    low = {i: (t or "").encode().lower() for i, t in rows}
+    tree = _plain_tree([x for i, x in low.items() if zlib.crc32(str(i).encode()) % 5 != 1], ctw.DEPTH)
+    found = by_id(ctw.scores(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert ctw.DEPTH > 4 and len(found) == len(rows)
+    for i, r in found.items():
+        assert r.score == pytest.approx(_plain_score(low[i], tree, ctw.DEPTH), rel=1e-5)
+
+
 def test_tree_is_a_distribution():
     key = np.unique(ctw.grams(b"abracadabra"), return_counts=True)
     tree = ctw.Tree(key[0].astype(np.int64), key[1].astype(float))
