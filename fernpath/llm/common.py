@@ -17,7 +17,7 @@ GAP = " \t\n\x0b\x0c\r"
 #: Texts are handled in Python in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fernpath-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,20 +43,32 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget)
-    _written.append((spark, path))
+    _written[path] = spark
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found._stashed_at = path
+    return found
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that no plan still to run reads."""
+    for df in tables:
+        _remove(_written.pop(df._stashed_at), df._stashed_at)
 
 
 def _forget() -> None:
     """Remove the written tables when the driver ends; if its JVM is gone already they stay for the cluster's clean-up."""
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001
             return
 

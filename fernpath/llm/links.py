@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernpath.llm.common import stash
+from fernpath.llm.common import release, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # the smallest label next to a node, and then the label of that label
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = labels.select("node", "label").join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = stash(step, "step")
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
         # a label is itself a node, so that it has a label
         new = step.join(jump, step["label"] == jump["at"]).select("node", "old", F.least("label", "further").alias("label"))
         new = stash(new, "labels")
+        release(step, labels)
         if new.where("label <> old").isEmpty():
+            release(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
