@@ -1,4 +1,7 @@
-"""Licence detection by ordered signature rules that are tried only where their keyword occurs."""
+"""Licence detection by ordered signature rules that are tried only where their keyword occurs.
+
+The rules stand in `licence_rules`. Of overlapping detections those that lie within a stronger one are dropped.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fernpath.llm.common import blocks, out, raw, table
+from fernpath.llm.licence_rules import NAMES, TAGS, TEXTS, VERSIONS
 
 _W = rb"[0-9a-z\x80-\xff]"
 _N = rb"[^0-9a-z\x80-\xff]"
@@ -18,94 +22,58 @@ _N = rb"[^0-9a-z\x80-\xff]"
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Licence families: names, versions, and the form of the label.
-FAMILIES = [
-    (["gnu general public license", "gnu gpl", "gpl", "gplv"], ["1", "2", "3", "1.0", "2.0", "3.0"], "gpl-{}"),
-    (["gnu lesser general public license", "lesser gpl", "lesser general public license"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
-    (["gnu lgpl", "lgpl", "lgplv"], ["2", "2.1", "3", "3.0"], "lgpl-{}"),
-    (["gnu affero general public license", "affero gpl", "affero general public license"], ["1", "3", "3.0"], "agpl-{}"),
-    (["gnu agpl", "agpl", "agplv"], ["1", "3", "3.0"], "agpl-{}"),
-    (["apache license", "apache software license", "apache"], ["1.0", "1.1", "2", "2.0"], "apache-{}"),
-    (["mozilla public license", "mozilla public licence"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
-    (["mpl"], ["1.0", "1.1", "2", "2.0"], "mpl-{}"),
-    (["eclipse public license", "eclipse distribution license"], ["1.0", "2.0"], "epl-{}"),
-    (["boost software license", "boost license"], ["1.0"], "bsl-{}"),
-    (["artistic license", "perl artistic license"], ["1.0", "2.0"], "artistic-{}"),
-    (["european union public licence", "european union public license"], ["1.0", "1.1", "1.2"], "eupl-{}"),
-    (["common public license", "common development and distribution license"], ["1.0", "1.1"], "cpl-{}"),
-    (["microsoft public license", "microsoft reciprocal license"], ["1.0"], "mspl-{}"),
-    (["academic free license", "open software license"], ["1.1", "2.0", "2.1", "3.0"], "afl-{}"),
-    (["cc by", "creative commons attribution"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-{}"),
-    (["cc by-sa", "creative commons attribution-sharealike"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-sa-{}"),
-    (["cc by-nc", "creative commons attribution-noncommercial"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-{}"),
-    (["cc by-nd", "creative commons attribution-noderivs"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nd-{}"),
-    (["cc by-nc-sa"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-sa-{}"),
-    (["cc by-nc-nd"], ["1.0", "2.0", "2.5", "3.0", "4.0"], "cc-by-nc-nd-{}"),
-    (["creative commons zero", "creative commons cc0"], ["1.0"], "cc0-{}"),
-]
-# Rules without a version: keywords (parted by bars) of which every match contains one, pattern, label, weight.
-PLAIN = [
-    ("mit", r"mit license", "mit", 0.9), ("mit", r"(?:licensed|released|distributed|available) under (?:the )?mit", "mit", 0.95),
-    ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person", "mit", 1.0),
-    ("the software is provided", r'the software is provided "as is", without warranty of any kind', "mit", 0.8),
-    ("redistribution and use", r"redistribution and use in source and binary forms", "bsd", 0.9),
-    ("neither the name", r"neither the name of .{1,80}? may be used to endorse", "bsd-3-clause", 0.95),
-    ("bsd", r"(?:2-clause|simplified) bsd(?: license)?|bsd 2-clause", "bsd-2-clause", 1.0),
-    ("bsd", r"(?:3-clause|new|modified|revised) bsd(?: license)?|bsd 3-clause", "bsd-3-clause", 1.0),
-    ("bsd", r"bsd license", "bsd", 0.9), ("isc", r"isc license", "isc", 0.9), ("zlib", r"zlib license", "zlib", 0.9),
-    ("unlicense", r"the unlicense|unlicense\.org", "unlicense", 0.95), ("wtfpl", r"wtfpl", "wtfpl", 0.95),
-    ("public domain", r"(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", "public-domain", 0.8),
-    ("apache", r"apache license", "apache", 0.8), ("general public", r"general public licen[sc]e", "gpl", 0.8),
-    ("lesser", r"lesser general public licen[sc]e", "lgpl", 0.85), ("affero", r"affero general public licen[sc]e", "agpl", 0.85),
-    ("mozilla", r"mozilla public licen[sc]e", "mpl", 0.85), ("eclipse", r"eclipse public licen[sc]e", "epl", 0.85),
-    ("creative", r"creative commons", "cc", 0.6), ("cc0", r"cc0", "cc0", 0.9), ("sil open font license", r"sil open font license", "ofl", 0.95),
-    ("all rights reserved", r"all rights reserved", "all-rights-reserved", 0.6), ("proprietary", r"proprietary and confidential", "proprietary", 0.8),
-    ("spdx", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", "spdx:{}", 1.0),
-    ("copyright|(c)|©", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)[0-9]{2}", "copyright", 0.4),
-    ("unauthorized", r"unauthorized (?:copying|use|reproduction)", "proprietary", 0.7),
-]
+#: Priority and weight of the rules of each list.
+LISTS = [(4, 1.0, TEXTS), (3, 1.0, TAGS), (2, 0.9, VERSIONS), (1, 0.6, NAMES)]
+#: What says little about a licence.
+WEAK = {"copyright": 0.3, "all-rights-reserved": 0.3, "no-warranty": 0.5, "warranty-disclaimer": 0.5}
+_BETWEEN = r"(?:\s*[,(-]?\s*(?:version|ver\.|v\.|v)?\s*)"
+_END = r"(?!\.?[0-9])"
 
 
 @dataclass(frozen=True)
 class Rule:
     priority: int
-    needs: tuple[tuple[bytes, ...], ...]  # every match of the pattern contains one string of each
+    needs: tuple[bytes, ...]  # every match of the pattern contains one of them
     pattern: re.Pattern
     label: str
     weight: float
 
 
+def _pattern(body: str) -> re.Pattern:
+    first, last = body[0].isalnum() or body.startswith("(?:"), body[-1].isalnum() or body.endswith((")?", ")"))
+    made = re.sub(" (?!\\?)", r"\\s+", body.replace("[- ]", "(?:-| )")).replace(" ?", r"\s*")
+    made = made.replace("{v}", _BETWEEN).replace("{e}", _END)
+    edge = _W.decode("latin-1")
+    return re.compile((f"(?<!{edge})" * first).encode("latin-1") + b"(?:" + made.encode() + b")" + (f"(?!{edge})" * last).encode("latin-1"), re.DOTALL)
+
+
 def rules() -> list[Rule]:
-    """All rules, those of highest priority first: a family's name with a version, in three phrasings, before plain names."""
-    found, bound = [], (f"(?<!{_W.decode('latin-1')})", f"(?!{_W.decode('latin-1')})")
-    # each phrasing beats the next: an exact grant, the name with its version, the name in short
-    for k, phrasing in enumerate((r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{0},? ?(?:\(?version|v\.?)? ?{1}", r"{0},? ?(?:\(?version|v\.?)? ?{1}(?: or later)?", r"{0}[- ]?{1}(?:-only|-or-later|\+)")):
-        for names, versions, label in FAMILIES:
-            for name in names:
-                words = sorted(name.split(), key=len, reverse=True)
-                for version in versions:
-                    body = phrasing.format(re.escape(name).replace("\\ ", r"\s+"), re.escape(version) + r"(?!\.?[0-9])")
-                    found.append(Rule(300 - 50 * k, tuple((w.encode(),) for w in [*words, version]), re.compile((bound[0] + body).encode("latin-1")), label.format(version), 1.0))
-    for keywords, body, label, weight in PLAIN:
-        found.append(Rule(100, (tuple(w.encode() for w in keywords.split("|")),), re.compile((bound[0] if body[0].isalnum() else "").encode("latin-1") + body.encode() + (bound[1] if body[-1].isalnum() else "").encode("latin-1")), label, weight))
-    return sorted(found, key=lambda r: -r.priority)
+    """All rules, those of highest priority first."""
+    return [
+        Rule(priority, tuple(k.encode() for k in keywords.split("|")), _pattern(body), label, WEAK.get(label, weight))
+        for priority, weight, some in LISTS
+        for label, keywords, body, _ in some
+    ]
 
 
 def detections(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, weight) in bytes, by start. A detection that lies within a stronger one, or an earlier one as strong, is dropped."""
-    kept: list[tuple[int, int, str, float]] = []
-    here: dict[tuple[bytes, ...], bool] = {}
-    for rule in ordered:
+    """(start, end, label, weight) in bytes, by start. A detection within one of higher priority, or within a longer or earlier one as high, is dropped."""
+    found, here, flat = [], {}, b" ".join(low.split())  # a keyword may be broken over lines
+    for k, rule in enumerate(ordered):
         for need in rule.needs:
             if need not in here:
-                here[need] = any(w in low for w in need)
-            if not here[need]:
+                here[need] = need in flat
+            if here[need]:
+                found += [(m.start(), -m.end(), -rule.priority, k, m) for m in rule.pattern.finditer(low)]
                 break
-        else:
-            for m in rule.pattern.finditer(low):
-                if not any(a <= m.start() and m.end() <= b for a, b, _, _ in kept):
-                    kept.append((m.start(), m.end(), rule.label.format(m[1].decode("utf-8", "replace") if m.re.groups else ""), rule.weight))
-    return sorted(kept)
+    found.sort(key=lambda x: x[:4])
+    kept, reach = [], [0] * (1 + max((r.priority for r in ordered), default=0))  # by priority: the furthest end of what began before
+    for start, end, priority, k, m in found:
+        if max(reach[-priority:]) < -end:
+            label = ordered[k].label
+            kept.append((start, -end, label.format(m[1].decode("utf-8", "replace")) if "{}" in label else label, ordered[k].weight))
+        reach[-priority] = max(reach[-priority], -end)
+    return kept
 
 
 _IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -118,7 +86,7 @@ def word_starts(data: bytes) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each row of documents; a null text has no words and no labels.
+    """A row for each row of documents; a null text has no words and no labels. Rows are scanned one by one, so repeated ones agree.
 
     score is the largest weight of the rules that found something, 0.5 at least where a base phrase stands, else 0.
     """
@@ -128,15 +96,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = rules()
-        # a text without any of these fragments lacks a need of every rule
-        gates = _gates([w for r in ordered for w in r.needs[0]])
+        # a text without any of these words lacks the keywords of every rule
+        gates = _gates([max(w.split(), key=len) for r in ordered for w in r.needs])
         for part in blocks(batches):
             rows = []
             for data in part.column("text").to_pylist():
                 low, starts = data.lower(), word_starts(data)
                 places = [(m.start(), label) for label, p in _BASE for m in p.finditer(low)] if b"license" in low else []
                 found = detections(low, ordered) if any(g in low for g in gates) else []
-                at = [int(np.count_nonzero(starts[:p])) for p, _ in places]
+                before = np.cumsum(starts) if places else starts
+                at = [int(before[p]) - 1 for p, _ in places]
                 base = sorted({label for _, label in places})
                 labels = sorted({*base, *(label for _, _, label, _ in found)})
                 score = max([0.5 if base else 0.0, *(w for *_, w in found)])
@@ -156,4 +125,5 @@ def _gates(keywords: list[bytes]) -> list[bytes]:
 
 
 def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document; see `scan` for odd rows."""
     return scan(table(spark, sf_dir, "documents"))

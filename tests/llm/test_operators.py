@@ -70,10 +70,11 @@ def test_deep_shallow():
 
 
 @pytest.mark.parametrize("most_spans", [suffix_dedup.MOST_SPANS, 2])
-def test_suffix_dedup(docs, rows, most_spans):
+def test_suffix_dedup(docs, rows, most_spans, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_SPANS", most_spans)
     texts = [(i, (t or "").encode()) for i, t in rows]
     times = collections.Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199))
-    found = suffix_dedup.digests(docs, most_spans)
+    found = suffix_dedup.digests(docs)
     assert found.count() == len(rows)
     found = by_id(found)
     for i, t in texts:
@@ -127,30 +128,58 @@ def test_licences(docs, rows):
         assert 0 <= r.score <= 1 and {x for x in r.base_labels.split(",") if x} <= set(r.labels.split(","))
 
 
-def test_licence_suppression():
-    labels = lambda t: [x[2] for x in licences.detections(t, licences.rules())]
-    assert labels(b"licensed under the apache license, version 2.0.") == ["apache-2.0"]
-    assert labels(b"under gnu lesser general public license v2.1 and mit license") == ["lgpl-2.1", "mit"]
-    assert labels(b"nothing to see") == []
+def _licence_labels(text):
+    return [x[2] for x in licences.detections(text.lower().encode(), licences.rules())]
+
+
+def test_licence_rules_find_their_samples():
+    assert len(licences.rules()) > 200
+    for _, _, some in licences.LISTS:
+        for label, keywords, body, sample in some:
+            for text in (sample, sample.replace(" ", "\n  "), f"see: {sample}; and more"):
+                match = licences._pattern(body).search(text.lower().encode())
+                assert match and any(k.encode() in b" ".join(match[0].split()) for k in keywords.split("|")), (label, text)
+                assert label.format("mit") in _licence_labels(text), (label, text)
 
 
 def test_licence_prefilter_loses_nothing():
     ordered = licences.rules()
-    whole = [licences.Rule(r.priority, (), r.pattern, r.label, r.weight) for r in ordered]
-    names = [n.replace(" ", gap) for names, *_ in licences.FAMILIES for n in names for gap in (" ", "\n ")]
-    texts = [f"x released under the {n} {v} y" for n in names for v in ("1.0", "2.0", "v3", "4.0")] + [f"{n}-{v}-or-later" for n in names for v in ("2", "2.1", "3.0")]
-    texts += ["(c) 2020 someone", "© 1999 x", "copyright (c) 2001", "sil open font license", "nothing", "spdx-license-identifier: MIT"]
-    for low in (t.lower().encode() for t in texts):
-        assert licences.detections(low, ordered) == licences.detections(low, whole), low
-    labels = lambda t: {x[2] for x in licences.detections(t, ordered)}
-    assert labels(b"released under gplv3") == {"gpl-3"} and labels(b"gpl-2.0-or-later") == {"gpl-2.0"}
-    assert "cc-by-4.0" in labels(b"creative commons attribution 4.0") and labels(b"(c) 2020") == labels("© 2020".encode()) == {"copyright"}
-    assert labels(b"open software license 3.0") == {"afl-3.0"}
-
-
-def test_licence_prefilter_of_texts(spark):
-    found = by_id(licences.scan(spark.createDataFrame([(1, "Released under GPLv3"), (2, "(c) 2020"), (3, "SIL Open Font License"), (4, "no")], "doc_id long, text string")))
-    assert [found[k].labels for k in (1, 2, 3, 4)] == ["gpl-3", "copyright", "ofl", ""]
+    whole = [licences.Rule(r.priority, (b"",), r.pattern, r.label, r.weight) for r in ordered]
+    for _, _, some in licences.LISTS:
+        for *_, sample in some:
+            low = f"x {sample}, 2.0 or later".lower().replace(" ", "\n").encode()
+            assert licences.detections(low, ordered) == licences.detections(low, whole), low
+
+
+def test_licence_suppression_agrees_with_a_plain_one():
+    """Of all matches those that lie in no stronger, longer or (at the same place) earlier one."""
+    ordered = licences.rules()
+    pool = [sample for _, _, some in licences.LISTS for *_, sample in some if len(sample) < 60]
+    for _ in range(30):
+        low = rng.choice([" ", ", ", " or "]).join(rng.choices(pool, k=12)).lower().encode()
+        every = [(m.start(), m.end(), r.priority, k, r.label.format(*(g.decode() for g in m.groups()))) for k, r in enumerate(ordered) for m in r.pattern.finditer(low)]
+        beats = lambda x, y: x[0] <= y[0] and y[1] <= x[1] and (x[2] > y[2] or x[2] == y[2] and (x[1] - x[0] > y[1] - y[0] or x[:2] == y[:2] and x[3] < y[3]))
+        want = sorted((x[0], x[1], x[4]) for x in every if not any(beats(y, x) for y in every))
+        assert sorted(x[:3] for x in licences.detections(low, ordered)) == want
+
+
+def test_licence_labels(spark):
+    assert _licence_labels("licensed under the apache license, version 2.0.") == ["apache-2.0"]
+    assert _licence_labels("under gnu lesser general public license v2.1 and mit license") == ["lgpl-2.1", "mit"]
+    assert _licence_labels("released under GPLv3") == ["gpl-3.0"] and _licence_labels("gpl-2 gpl v2") == ["gpl-2.0"] * 2
+    assert _licence_labels("open software license 3.0") == ["osl-3.0"] and _licence_labels("nothing to see") == []
+    texts = ["Released under GPLv3", "(c) 2020", "SIL Open\nFont License", "no", None, "", "MIT\nLicense, MIT license"]
+    found = by_id(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[k].labels for k in range(7)] == ["gpl-3.0", "copyright", "ofl", "", "", "", "mit"]
+    assert [found[k].score for k in range(7)] == [0.9, 0.3, 0.6, 0.0, 0.0, 0.0, 0.6]
+
+
+def test_licences_of_a_long_text():
+    import time
+
+    start = time.time()
+    assert len(_licence_labels("Licensed under the Apache License, Version 2.0. MIT License. " * 5000)) == 10_000
+    assert time.time() - start < 5
 
 
 _PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
