@@ -18,13 +18,13 @@ LONG_LINE = 12
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
-# Words of site furniture; lines of up to BOILER_CHARS characters that contain one, and no mark that the other rules look for, are boilerplate.
+# Words of site furniture; lines of up to BOILER_WORDS words that contain one are boilerplate.
 BOILERPLATE = [
     "accept all cookies", "we use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "enable javascript", "javascript is disabled", "click here", "read more", "sign up", "log in", "subscribe to our", "skip to content",
     "share this", "back to top", "lorem ipsum", "powered by", "follow us on",
 ]
-BOILER_CHARS = 120
+BOILER_WORDS = 20
 #: Up to so many different repeated windows are looked up one by one.
 FEW = 8
 
@@ -56,15 +56,23 @@ def _repeated_words(words: str) -> str:
     return f"""case when size({words}) < 4 then 0L else {_let(hashes, "h", f"case when size(array_distinct(h)) = size(h) then 0L else {_let(places, 'p', covered)} end")} end"""
 
 
+def _furniture(low: str) -> str:
+    return "(" + " or ".join(f"contains({low}, '{x}')" for x in BOILERPLATE) + ")"
+
+
 def _line_fails(line: str) -> str:
-    """Words of the line if a rule fails it, else 0. Cheap tests come first; words are counted only where one of them hits."""
+    """Words of the line if a rule fails it, else 0. Cheap tests come first; words are counted only where one of them hits.
+
+    `site` says whether the whole text has any words of site furniture.
+    """
     marked = f"""size(split({line}, '[|»›]', -1)) >= 3
       or 5 * (size(split({line}, '[#*$%&|<>]', -1)) - 1) > n
       or (n >= 5 and 5 * (size(split({line}, '!!', -1)) - 1) > n)
-      or (n >= {LONG_LINE} and not {line} rlike '[.,;:!?]')"""
-    furniture = _let(f"lower({line})", "low", " or ".join(f"contains(low, '{x}')" for x in BOILERPLATE))
-    return f"""case when {line} rlike '[#*$%&|<>»›]|!!' or not {line} rlike '[.,;:!?]' then {_let(f"size({_words(line)})", "n", f"case when {marked} then n else 0 end")}
-      when length({line}) <= {BOILER_CHARS} and {furniture} then size({_words(line)}) else 0 end"""
+      or (n >= {LONG_LINE} and not {line} rlike '[.,;:!?]')
+      or (n <= {BOILER_WORDS} and boiler)"""
+    judged = _let(f"size({_words(line)})", "n", f"case when {marked} then n else 0 end")
+    tested = f"case when boiler or {line} rlike '[#*$%&|<>»›]|!!' or not {line} rlike '[.,;:!?]' then {judged} else 0 end"
+    return _let(f"case when site then {_let(f'lower({line})', 'low', _furniture('low'))} else false end", "boiler", tested)
 
 
 def _stats() -> str:
@@ -75,41 +83,45 @@ def _stats() -> str:
       'n_symbols', cast(size(split(t, '[#*$%&|<>]', -1)) - 1 as bigint),
       'n_dup_lines', {_let(f"filter(l, x -> x rlike '{_WORD}')", 'f', 'cast(size(f) - size(array_distinct(f)) as bigint)')},
       'n_repeat_words', {_repeated_words('w')},
-      'lost', transform(l, x -> {_line_fails('x')}))"""
+      'lost', {_let(_let("lower(t)", "low", _furniture("low")), "site", f"transform(l, x -> {_line_fails('x')})")})"""
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The documents' own columns plus struct `__q`: the counts, base_failed, lost_words, and the words lost by line.
+def judged(docs: DataFrame, *extra: str) -> DataFrame:
+    """Rows of struct `q`: the counts, base_failed, lost_words, the words lost by line and `kept`; before it what SQL `extra` says.
 
-    A null or empty text has no words and fails. Lines are parted by line feeds only; windows are compared by 64-bit hash.
+    A null or empty text has no words and fails. Lines are parted by line feeds only; windows are compared by 64-bit hash. Rows
+    are judged one by one, so repeated rows and ids each have their verdict.
     """
     stats = _let("split(t, '\\n', -1)", "l", _let(_words("t"), "w", _stats()))
-    verdict = f"""named_struct('n_words', q.n_words, 'word_chars', q.word_chars, 'n_symbols', q.n_symbols, 'n_dup_lines', q.n_dup_lines,
-      'n_repeat_words', q.n_repeat_words,
-      'base_failed', q.n_words < {MIN_WORDS} or 100 * q.n_repeat_words > {MOST_REPEATED} * q.n_words,
-      'lost_words', aggregate(q.lost, 0L, (a, b) -> a + b),
-      'lost', q.lost)"""
-    return docs.withColumn("__q", F.expr(_let("coalesce(text, '')", "t", _let(stats, "q", verdict))))
+    failed = f"(s.n_words < {MIN_WORDS} or 100 * s.n_repeat_words > {MOST_REPEATED} * s.n_words)"
+    lost = f"""named_struct('n_words', s.n_words, 'word_chars', s.word_chars, 'n_symbols', s.n_symbols, 'n_dup_lines', s.n_dup_lines,
+      'n_repeat_words', s.n_repeat_words, 'base_failed', {failed}, 'lost_words', c, 'lost', s.lost,
+      'kept', not {failed} and 100 * c <= {MOST_LOST} * s.n_words)"""
+    verdict = _let("aggregate(s.lost, 0L, (a, b) -> a + b)", "c", lost)
+    # a generated row is computed once, however often its fields are read
+    return docs.selectExpr(*extra, f"explode(array({_let("coalesce(text, '')", 't', _let(stats, 's', verdict))})) as q")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, lost_words and kept, a row for each row of documents."""
-    kept = f"not __q.base_failed and 100 * __q.lost_words <= {MOST_LOST} * __q.n_words"
-    return judged(docs.select("doc_id", "text")).selectExpr(
-        "doc_id", *(f"__q.{c} as {c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words")), f"{kept} as kept"
-    )
+    """doc_id, the counts, base_failed, lost_words and kept, a row for each row of documents; see `judged` for odd texts."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept")
+    return judged(docs, "doc_id").selectExpr("doc_id", *(f"q.{c} as {c}" for c in names))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents that pass, without their failing lines; other columns as they were, n_chars that of the new text."""
-    names = docs.columns
-    passed = judged(docs).where(f"not __q.base_failed and 100 * __q.lost_words <= {MOST_LOST} * __q.n_words")
-    rest = "if(__q.lost_words = 0, text, array_join(filter(split(text, '\\\\n', -1), (x, i) -> get(__q.lost, i) = 0), '\\n'))"
-    passed = passed.withColumn("text", F.expr(rest)).drop("__q")
-    return (passed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else passed).select(*(f"`{c}`" for c in names))
+    """The documents that pass, without their failing lines; other columns as they were, n_chars that of the new text.
+
+    Null, empty and short texts fail. Repeated rows stay as often as they pass.
+    """
+    row = "struct(" + ", ".join(f"`{c}`" for c in docs.columns) + ") as row"
+    rest = "if(q.lost_words = 0, row.text, array_join(filter(split(row.text, '\\n', -1), (x, i) -> get(q.lost, i) = 0), '\n'))"
+    passed = judged(docs, row).where("q.kept").selectExpr("row", f"explode(array({rest})) as rest")
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    return passed.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; see `judged` for odd rows."""
     return verdicts(table(spark, sf_dir, "documents"))
 
 
@@ -128,8 +140,7 @@ bad AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lost FROM line WHERE
   OR 5 * (len(x) - len(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > n
   OR (n >= 5 AND 5 * len(regexp_extract_all(x, '!!')) > n)
   OR (n >= {LONG_LINE} AND NOT regexp_matches(x, '[.,;:!?]'))
-  OR (len(x) <= {BOILER_CHARS} AND regexp_matches(x, '[.,;:!?]') AND NOT regexp_matches(x, '[#*$%&|<>»›]|!!')
-      AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) GROUP BY doc_id),
+  OR (n <= {BOILER_WORDS} AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) GROUP BY doc_id),
 s AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
