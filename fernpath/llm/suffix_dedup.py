@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.llm.common import blocks, out, stash, table
+from fernpath.llm.common import blocks, out, release, stash, table
 from fernpath.llm.suffix_sort import deep_shallow
 
 WIDTH, GRAM = 200, 32
@@ -170,22 +170,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(_WINDOW, *zip(*rows, strict=True))
 
 
-def repeats(docs: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
+def repeats(docs: DataFrame, most_spans: int | None = None) -> DataFrame:
     """Ranges (d, tk, begin, end) that cover just the bytes to remove; they may overlap and repeat."""
-    texts = _keyed(docs)
+    texts, most_spans = _keyed(docs), most_spans or MOST_SPANS
     schema = "anchor long, span long, d long, tk long, lo int, hi int, at int"
     every = stash(texts.where(F.length("text") >= WIDTH).mapInArrow(_all_spans, schema), "spans")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
-    shared = stash(every.join(again.selectExpr("anchor", "a <> b as mixed"), "anchor"), "shared")
+    # written, so that the joins with them are of plain tables and rows of a hot anchor can be dealt to several tasks
+    again = stash(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1").selectExpr("anchor", "a <> b as mixed"), "again")
+    shared = stash(every.join(again, "anchor"), "shared")
+    release(every, again)
     mixed = shared.where("mixed")
     kinds = mixed.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("d", "tk", "lo", "hi", "at")).alias("one"))
     kinds = stash(kinds.select("anchor", "span", "n", "one.*"), "kinds")
+    many = stash(kinds.groupBy("anchor").agg((F.count("*") > most_spans).alias("hot")), "many")
     whole = shared.where("not mixed").select("d", "tk", "lo", "hi").unionByName(
         mixed.join(kinds.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("d", "tk", "lo", "hi")
     )
     whole = whole.select("d", "tk", F.col("lo").alias("begin"), (F.col("hi") + WIDTH).alias("end"))
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("spans"))
-    wanted = kinds.join(many, "anchor").withColumn("hot", F.col("spans") > most_spans)
+    wanted = kinds.join(many, "anchor")
     # a text's wanted spans are no more than its own spans
     wanted = wanted.groupBy("d", "tk").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at", "n", "hot")).alias("wanted"))
     fields = "anchor long, d long, tk long, lo int, at int, n long, hot boolean, bytes binary"
@@ -209,25 +211,27 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [tuple(r) for r in found]
 
 
-def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
+def _runs(data: bytes, removed: list[tuple[int, int]]) -> list[bytes]:
+    """What lies between the removed ranges."""
     ends = [0, *(e for _, e in removed)]
-    return b"".join(data[a:b] for a, b in zip(ends, [*(b for b, _ in removed), len(data)], strict=True))
+    return [data[a:b] for a, b in zip(ends, [*(b for b, _ in removed), len(data)], strict=True)]
 
 
-def cleaned(docs: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
-    """The documents' own columns and `__ranges`, an array of (begin, end) of bytes to remove, possibly overlapping; null: none.
+def cleaned(docs: DataFrame) -> DataFrame:
+    """A struct `row` of the documents' own columns, and `ranges`, an array of (begin, end) of bytes to remove, possibly overlapping; null: none.
 
     Null texts count as empty, and texts shorter than WIDTH have no windows. Repeated rows repeat each other.
     """
-    found = stash(repeats(docs, most_spans), "ranges")
-    found = found.groupBy("d", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("__ranges")).withColumnsRenamed({"d": "__d", "tk": "__tk"})
+    found = stash(repeats(docs), "ranges")
+    found = found.groupBy("d", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__tk", F.xxhash64(text))
-    return keyed.join(found, ["__d", "__tk"], "left").drop("__d", "__tk")
+    row = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("tk"))
+    return keyed.join(found, ["d", "tk"], "left").select("row", "ranges")
 
 
-def digests(docs: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row for each row of documents."""
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row for each row of documents; see `cleaned` for odd rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -235,30 +239,34 @@ def digests(docs: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
             rows = []
             for data, ranges in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                 removed = _merged(ranges or [])
-                kept = _kept(data, removed)
+                kept = b"".join(_runs(data, removed))
                 rows.append((len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()))
             yield out(schema, part.column("doc_id"), *zip(*rows, strict=True))
 
-    found = cleaned(docs.select("doc_id", "text"), most_spans)
-    bytes_ = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.col("__ranges").alias("ranges"))
+    found = cleaned(docs.select("doc_id", "text"))
+    bytes_ = found.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("binary"), F.lit(b"")).alias("text"), "ranges")
     return bytes_.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated bytes, n_chars that of the new text. A character cut in part goes as a whole."""
+    """The documents without their repeated bytes, n_chars that of the new text. A character cut in part goes as a whole.
+
+    Each kept run is decoded by itself, so that no character arises from bytes of both sides of a cut. Rows, also repeated ones,
+    all stay; a text that is removed as a whole stays as an empty one.
+    """
 
     @F.pandas_udf("string")
     def rest(text, ranges):
         import pandas as pd
 
-        cut = (t if r is None or t is None else _kept(t.encode(), _merged(list(r))).decode("utf-8", "ignore") for t, r in zip(text, ranges, strict=True))
+        cut = (t if r is None or t is None else b"".join(x.decode("utf-8", "ignore").encode() for x in _runs(t.encode(), _merged(list(r)))).decode() for t, r in zip(text, ranges, strict=True))
         return pd.Series(list(cut), dtype=object)
 
-    names = docs.columns
-    found = cleaned(docs).withColumn("text", F.when(F.col("__ranges").isNull(), F.col("text")).otherwise(rest("text", "__ranges")))
-    found = found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else found
-    return found.select(*(f"`{c}`" for c in names))
+    found = cleaned(docs).select("row", F.when(F.col("ranges").isNull(), F.col("row.text")).otherwise(rest("row.text", "ranges")).alias("rest"))
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that start anywhere else too; see `cleaned` for odd rows."""
     return digests(table(spark, sf_dir, "documents"))

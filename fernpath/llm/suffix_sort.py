@@ -1,4 +1,4 @@
-"""Deep-shallow sorting of byte strings: by eight-byte keys to a shallow depth, then by blind tries where strings still agree."""
+"""Deep-shallow sorting of byte strings: multikey quicksort to a shallow depth, then blind tries where strings still agree."""
 
 from __future__ import annotations
 
@@ -71,6 +71,43 @@ class BlindTrie:
         return rows, shared
 
 
+def _first_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading bytes eight-byte keys share."""
+    bits, equal = x ^ y, np.full(len(x), _KEY)
+    for b in range(_KEY - 1, -1, -1):
+        equal[(bits >> np.uint64(8 * (_KEY - 1 - b))) & np.uint64(255) != 0] = b
+    return equal
+
+
+def _multikey(head: np.ndarray, inside: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows that `order` brings by group: their new order, and where a run of rows with equal keys begins.
+
+    A run of rows (one group, equal so far) is parted in three by a pivot of its own in the present key: smaller ones, equal ones,
+    which go on to the next key, and larger ones. All runs take a step at once. A string's end comes before any byte.
+    """
+    n = len(order)
+    first = np.concatenate(([True], np.diff(group[order]) != 0)) if n else np.zeros(0, bool)
+    depth = np.zeros(n, np.int64)  # by place: the key that its run is sorted by next
+    while True:
+        run = np.cumsum(first) - 1
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, n))
+        at = np.flatnonzero((size[run] > 1) & (depth < head.shape[1]))
+        if not len(at):
+            return order, first
+        row, k = order[at], depth[at]
+        pivot = order[(start + size // 2)[run[at]]]
+        key, other, end, end_ = head[row, k], head[pivot, k], inside[row, k], inside[pivot, k]
+        side = np.where((key == other) & (end == end_), 1, np.where((key < other) | ((key == other) & (end < end_)), 0, 2))
+        part = run[at] * 3 + side
+        by = np.argsort(part, kind="stable")
+        order[at] = row[by]
+        part = part[by]
+        first[at[1:]] |= part[1:] != part[:-1]
+        # equal rows whose strings all end within the key are done
+        depth[at] += np.where(part % 3 == 1, np.where(end[by] < _KEY, head.shape[1], 1), 0)
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within their groups (groups in order of their numbers), and what each shares with the one before.
 
@@ -78,35 +115,19 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW
     """
     n = len(strings)
     length = np.fromiter(map(len, strings), np.int64, n)
-    order = np.argsort(group, kind="stable")
-    part = np.concatenate(([0], np.cumsum(np.diff(group[order]) != 0))) if n else np.zeros(0, np.int64)
-    first = np.concatenate(([True], np.diff(part) != 0)) if n else np.zeros(0, bool)
-    shared = np.where(first, -1, 0)
-    head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, -1) if n else np.zeros((0, 1), ">u8")
-    for k in range(shallow // _KEY):
-        # only strings that still agree with a neighbour are sorted on; a string's end comes before any byte
-        tied = ~first | np.append(~first[1:], False)
-        at = np.nonzero(tied)[0]
-        if not len(at):
-            break
-        key = head[order[at], k].astype(np.uint64)
-        inside = np.clip(length[order[at]] - k * _KEY, 0, _KEY)
-        by = np.lexsort((inside, key, part[at]))
-        order[at], key, inside = order[at][by], key[by], inside[by]
-        same = np.zeros(len(at), bool)
-        same[1:] = (part[at][1:] == part[at][:-1]) & (np.diff(at) == 1)
-        differs = np.zeros(len(at), np.int64)
-        bits = key[1:] ^ key[:-1]
-        equal = np.full(len(bits), _KEY)
-        for b in range(_KEY - 1, -1, -1):
-            equal[(bits >> np.uint64(8 * (_KEY - 1 - b))) & np.uint64(255) != 0] = b
-        differs[1:] = np.minimum(equal, np.minimum(inside[1:], inside[:-1]))
-        split = same & ((differs < _KEY) | (inside < _KEY))
-        # a string that ends inside the key equals its neighbour if both end there alike: they stay together
-        alike = same & (differs == inside) & (np.concatenate(([0], inside[:-1])) == inside) & (inside < _KEY)
-        shared[at[same]] = k * _KEY + differs[same]
-        first[at[split & ~alike]] = True
-        part = np.cumsum(first) - 1
+    head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, -1).astype(np.uint64) if n else np.zeros((0, 1), np.uint64)
+    inside = np.clip(length[:, None] - np.arange(head.shape[1]) * _KEY, 0, _KEY)
+    order, first = _multikey(head, inside, np.argsort(group, kind="stable"), group)
+    shared = np.full(n, -1)
+    if n:
+        new = np.concatenate(([True], np.diff(group[order]) != 0))
+        low, high = order[:-1], order[1:]
+        share, open_ = np.zeros(n - 1, np.int64), np.ones(n - 1, bool)
+        for k in range(head.shape[1]):
+            part = np.minimum(_first_difference(head[low, k], head[high, k]), np.minimum(inside[low, k], inside[high, k]))
+            share += np.where(open_, part, 0)
+            open_ &= part == _KEY
+        shared[1:] = np.where(new[1:], -1, share)
     starts = np.nonzero(first)[0]
     ends = np.append(starts[1:], n)
     for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
