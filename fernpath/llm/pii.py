@@ -29,6 +29,7 @@ INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,64}[0-9])[A-Za-z0-9._%+@-
 #: Seeds of the kind `secret`, which has no base pattern.
 SECRET = "^([0-9a-f]{32,}|[0-9A-F]{32,})$"
 
+_ID = "coalesce(cast(doc_id as long), -9223372036854775808)"
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 _DIGITS = "regexp_replace(x, '[^0-9]', '')"
 _LUHN = """aggregate(sequence(1, length(g)), 0, (a, i) -> a + let_d(i))""".replace(
@@ -77,7 +78,7 @@ def _candidates() -> str:
 def _scanned(docs: DataFrame) -> DataFrame:
     """d, tk (id and text's hash), base spans and candidates with the kind of the base span they touch, if any."""
     text = "coalesce(text, '')"
-    key = docs.selectExpr("doc_id", "coalesce(cast(doc_id as long), -9223372036854775808) as d", f"xxhash64({text}) as tk", f"{text} as t")
+    key = docs.selectExpr("doc_id", f"{_ID} as d", f"xxhash64({text}) as tk", f"{text} as t")
     both = key.selectExpr("doc_id", "d", "tk", f"{_base()} as base", f"{_candidates()} as c")
     touch = "get(filter(base, b -> b.s < y.e and y.s < b.e), 0).k"
     seed = f"transform(c, y -> named_struct('s', y.s, 'e', y.e, 'p', y.p, 'x', y.x, 'base', {touch}, 'k', coalesce({touch}, if(y.x rlike '{SECRET}', 4, null))))"
@@ -130,18 +131,21 @@ def listed(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets, n_chars that of the new text; other columns stay."""
-    names = docs.columns
-    spans = found(docs).where("size(spans) > 0").select("d", "tk", "spans").dropDuplicates(["d", "tk"]).withColumnsRenamed({"d": "__d", "tk": "__tk", "spans": "__s"})
-    keyed = docs.withColumn("__d", F.expr("coalesce(cast(doc_id as long), -9223372036854775808)")).withColumn("__tk", F.expr("xxhash64(coalesce(text, ''))"))
+    """The documents with each span replaced by its kind in angle brackets, n_chars that of the new text; other columns stay.
+
+    Spans that overlap one already masked only lengthen it. A null text stays null; rows stay as often as they repeat.
+    """
+    spans = found(docs).where("size(spans) > 0").select("d", "tk", "spans").dropDuplicates(["d", "tk"])
+    row = "struct(" + ", ".join(f"`{c}`" for c in docs.columns) + ") as row"
+    keyed = docs.selectExpr(row, f"{_ID} as d", "xxhash64(coalesce(text, '')) as tk")
     kinds = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    # spans that overlap one already masked only lengthen it
-    cut = f"""aggregate(__s, named_struct('p', 0, 'o', ''), (a, y) -> named_struct('p', greatest(a.p, y.e),
-      'o', if(y.s < a.p, a.o, concat(a.o, substring(text, a.p + 1, y.s - a.p), array({kinds})[y.k]))), a -> concat(a.o, substring(text, a.p + 1)))"""
-    new = keyed.join(spans, ["__d", "__tk"], "left").withColumn("text", F.expr(f"if(__s is null, text, {cut})"))
-    new = new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else new
-    return new.select(*(f"`{c}`" for c in names))
+    cut = f"""aggregate(spans, named_struct('p', 0, 'o', ''), (a, y) -> named_struct('p', greatest(a.p, y.e),
+      'o', if(y.s < a.p, a.o, concat(a.o, substring(row.text, a.p + 1, y.s - a.p), array({kinds})[y.k]))), a -> concat(a.o, substring(row.text, a.p + 1)))"""
+    masked_ = keyed.join(spans, ["d", "tk"], "left").selectExpr("row", f"explode(array(if(spans is null, row.text, {cut}))) as rest")
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    return masked_.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document; see `found` for odd rows."""
     return listed(table(spark, sf_dir, "documents"))
