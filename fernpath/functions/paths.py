@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import unicodedata
 
 import pandas as pd
@@ -33,6 +34,11 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def folder(path: Column) -> Column:
+    """What stands before the last slash."""
+    return F.regexp_extract(path, "(?s)^(.*)/[^/]*$", 1)
+
+
 def extension(path: Column) -> Column:
     """What follows the last dot of the last component; empty for none, and for names that only start with a dot."""
     return F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)
@@ -46,19 +52,28 @@ def grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, windows).otherwise(short)
 
 
-# Types of the extensions that matter here.
-MIME_BY_EXTENSION = {
-    "txt": "text/plain", "log": "text/plain", "md": "text/markdown", "rs": "text/x-rust", "py": "text/x-python", "js": "text/javascript",
-    "css": "text/css", "csv": "text/csv", "htm": "text/html", "html": "text/html", "xml": "text/xml", "json": "application/json",
-    "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "tar": "application/x-tar", "png": "image/png",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "mp3": "audio/mpeg",
-    "wav": "audio/wav", "mp4": "video/mp4", "webm": "video/webm", "c": "text/x-c", "h": "text/x-c", "sh": "application/x-sh", "toml": "text/x-toml",
+# Types of extensions that the standard table lacks or names otherwise.
+_TYPES = {
+    "log": "text/plain", "md": "text/markdown", "rs": "text/x-rust", "py": "text/x-python", "gz": "application/gzip", "bz2": "application/x-bzip2", "xz": "application/x-xz",
+    "zst": "application/zstd", "7z": "application/x-7z-compressed", "rar": "application/vnd.rar", "webp": "image/webp", "avif": "image/avif", "heic": "image/heic",
+    "ico": "image/x-icon", "wav": "audio/wav", "flac": "audio/flac", "ogg": "audio/ogg", "m4a": "audio/mp4", "mkv": "video/x-matroska", "toml": "text/x-toml", "yaml": "text/x-yaml",
+    "yml": "text/x-yaml", "ts": "text/x-typescript", "go": "text/x-go", "rb": "text/x-ruby", "java": "text/x-java", "cpp": "text/x-c", "hpp": "text/x-c", "xml": "text/xml",
+    "parquet": "application/vnd.apache.parquet", "sqlite": "application/vnd.sqlite3", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "odt": "application/vnd.oasis.opendocument.text", "epub": "application/epub+zip",
 }
+#: The registered types that Python's standard library knows, the same on every machine, and those above.
+MIME_BY_EXTENSION = {e.lstrip("."): t for e, t in mimetypes.MimeTypes(filenames=()).types_map[True].items()} | _TYPES
 # First bytes of common formats.
 MAGIC = [
     (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"%PDF-", "application/pdf"),
     (b"PK\x03\x04", "application/zip"), (b"\x1f\x8b", "application/gzip"), (b"\x7fELF", "application/x-executable"), (b"BZh", "application/x-bzip2"),
     (b"7z\xbc\xaf\x27\x1c", "application/x-7z-compressed"), (b"OggS", "audio/ogg"), (b"ID3", "audio/mpeg"), (b"#!", "text/x-shellscript"),
+    (b"\xfd7zXZ\x00", "application/x-xz"), (b"\x28\xb5\x2f\xfd", "application/zstd"), (b"Rar!\x1a\x07", "application/vnd.rar"), (b"fLaC", "audio/flac"),
+    (b"\x1a\x45\xdf\xa3", "video/x-matroska"), (b"SQLite format 3\x00", "application/vnd.sqlite3"), (b"PAR1", "application/vnd.apache.parquet"),
+    (b"II*\x00", "image/tiff"), (b"MM\x00*", "image/tiff"), (b"BM", "image/bmp"), (b"\x00\x00\x01\x00", "image/x-icon"), (b"<?xml", "text/xml"),
+    (b"<!DOCTYPE html", "text/html"), (b"<html", "text/html"), (b"{\\rtf", "text/rtf"), (b"%!PS", "application/postscript"), (b"wOFF", "font/woff"),
+    (b"wOF2", "font/woff2"), (b"\x00\x01\x00\x00\x00", "font/ttf"), (b"OTTO", "font/otf"), (b"\xca\xfe\xba\xbe", "application/java-vm"), (b"\x00asm", "application/wasm"),
 ]
 
 
@@ -122,16 +137,20 @@ def time_colour(mtime: Column, now: int) -> Column:
     return made
 
 
-# Icons by group of extensions.
-ICON_GROUPS = {"code": ["rs", "py", "js", "c", "h", "sh"], "text": ["txt", "md", "log", "csv"], "image": ["png", "jpg", "jpeg", "gif", "svg"], "archive": ["zip", "gz", "tar"], "data": ["json", "toml", "xml"]}
-ICONS = {"code": "\U0001f4dc", "text": "\U0001f4c4", "image": "\U0001f5bc", "archive": "\U0001f4e6", "data": "\U0001f5c3"}
-OTHER_ICON = "\U0001f4c1"
+# Icons by extension.
+ICONS = {
+    "\ue7a8 ": ["rs"], "\ue606 ": ["py"], "\ue74e ": ["js"], "\ue628 ": ["ts"], "\ue60b ": ["json"], "\uf16f ": ["yaml", "yml"], "\uf48a ": ["md"],
+    "\uf724 ": ["pdf"], "\uf7e8 ": ["png", "jpg", "jpeg", "gif", "svg"], "\uf1c6 ": ["zip", "tar", "gz", "bz2"], "\ue795 ": ["sh", "bash", "zsh"],
+    "\ue61e ": ["c", "h", "cpp", "hpp"], "\ue627 ": ["go"], "\ue791 ": ["rb"], "\ue749 ": ["css"], "\uf13b ": ["html"], "\ue6b2 ": ["toml"], "\uf023 ": ["lock"],
+}
+OTHER_ICON = "\uf713 "
 
 
 def icon(path: Column) -> Column:
+    """The sign before a path, by its extension as it is written."""
     made = F.lit(OTHER_ICON)
-    for group, names in ICON_GROUPS.items():
-        made = F.when(extension(path).isin(names), ICONS[group]).otherwise(made)
+    for sign, names in ICONS.items():
+        made = F.when(extension(path).isin(names), sign).otherwise(made)
     return made
 
 

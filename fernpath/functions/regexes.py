@@ -15,9 +15,26 @@ class RegexError(ValueError):
     """A pattern outside the dialect."""
 
 
+# The ASCII classes that have names.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": r"\x20-~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r\x20", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+
+
+def _flags(text: str) -> tuple[set[str], set[str], str]:
+    """Flags that `flags` or `flags:` after (? turns on and off, and what ends them."""
+    k = min((x for x in (text.find(")"), text.find(":")) if x >= 0), default=-1)
+    on, _, off = text[:k].partition("-") if k >= 0 else ("?", "", "")
+    if not set(on + off) <= set("ims"):
+        raise RegexError(f"Invalid regex: flags {text[:k]!r} are not supported")
+    return set(on), set(off), text[k]
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Java's engine. Raises RegexError for what the dialect lacks."""
     made, k, in_class = [], 0, 0
+    lines = [False]  # by open group: whether ^ and $ hold at every line
     while k < len(pattern):
         c, pair = pattern[k], pattern[k : k + 2]
         if c == "\\":
@@ -29,20 +46,42 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             k += 2
             continue
         if in_class:
+            if pair == "[:":
+                end = pattern.find(":]", k)
+                name = pattern[k + 2 : end]
+                if end < 0 or name.lstrip("^") not in POSIX:
+                    raise RegexError(f"Invalid regex: no class {pattern[k:k + 12]!r}")
+                made.append(f"[{'^' * name.startswith('^')}{POSIX[name.lstrip('^')]}]")
+                k = end + 2
+                continue
             in_class += (c == "[") - (c == "]" and not (made[-1] == "[" or made[-2:] == ["[", "^"]))
         elif c == "[":
             in_class = 1
-        elif c == "(" and pattern[k + 1 : k + 2] == "?":
-            if any(pattern.startswith(x, k + 2) for x in ("=", "!", "<=", "<!", ">")):
-                raise RegexError(f"Invalid regex: look-around at {k} in {pattern!r}")
-            if pattern.startswith("P<", k + 2):
-                made.append("(?<")
-                k += 4
-                continue
+        elif c == "(":
+            lines.append(lines[-1])
+            if pattern[k + 1 : k + 2] == "?":
+                if any(pattern.startswith(x, k + 2) for x in ("=", "!", "<=", "<!", ">")):
+                    raise RegexError(f"Invalid regex: look-around at {k} in {pattern!r}")
+                if pattern.startswith("P<", k + 2):
+                    made.append("(?<")
+                    k += 4
+                    continue
+                if not pattern.startswith("<", k + 2):
+                    on, off, end = _flags(pattern[k + 2 :])
+                    if end == ")":
+                        lines.pop()  # holds for the rest of the group around it
+                    lines[-1] = (lines[-1] or "m" in on) and "m" not in off
+                    if end == ")":
+                        close = pattern.index(")", k)
+                        made.append(pattern[k : close + 1])
+                        k = close + 1
+                        continue
+        elif c == ")" and len(lines) > 1:
+            lines.pop()
         elif c == "+" and made and made[-1] in ("*", "+", "?", "}"):
             raise RegexError(f"Invalid regex: repeated quantifier at {k} in {pattern!r}")
         elif c == "$":
-            c = "\\z"
+            c = "$" if lines[-1] else "\\z"
         made.append(c)
         k += 1
     return ("(?diuU)" if ignore_case else "(?dU)") + "".join(made)

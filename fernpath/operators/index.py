@@ -26,10 +26,10 @@ def extension_postings(files: DataFrame) -> DataFrame:
 
 
 def all_postings(files: DataFrame) -> DataFrame:
-    """(kind, gram, doc_id) of trigrams, bigrams and extensions, in one pass over the files."""
+    """(kind, gram, doc_id) of trigrams, bigrams, extensions and folders, in one pass over the files."""
     of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("gram"))
     ext = F.filter(F.array(paths.extension(F.col("full_path"))), lambda x: x != "")
-    kinds = F.array(F.transform(paths.grams(F.col("folded"), 3), of("tri")), F.transform(paths.grams(F.col("folded"), 2), of("bi")), F.transform(ext, of("ext")))
+    kinds = F.array(F.transform(paths.grams(F.col("folded"), 3), of("tri")), F.transform(paths.grams(F.col("folded"), 2), of("bi")), F.transform(ext, of("ext")), F.array(of("dir")(paths.folder(F.col("full_path")))))
     return files.select("doc_id", F.explode(F.flatten(kinds)).alias("g")).select("g.kind", "g.gram", "doc_id")
 
 
@@ -59,26 +59,72 @@ def _grams(text: str) -> tuple[str, list[str]] | None:
     return ("tri" if n == 3 else "bi", sorted({text[k : k + n] for k in range(len(text) - n + 1)})) if len(text) >= 2 else None
 
 
-def candidates(posted: DataFrame, need) -> DataFrame | None:
-    """doc_ids that may hold what is needed, or None if that says nothing. posted: (kind, gram, doc_id)."""
+#: So many of a string's grams are looked up, the rarest; a string whose rarest gram more than this share of all files has is not.
+LOOKED_UP, MOST_SHARE = 3, 0.25
+
+
+def candidates(posted: DataFrame, need, sizes: dict[tuple[str, str], int] | None = None, most: float = float("inf")) -> DataFrame | None:
+    """doc_ids that may hold what is needed, or None if that says little. posted: (kind, gram, doc_id).
+
+    sizes: how many files have each gram, 0 for those not named; strings whose every gram has more than `most` say little.
+    """
     if isinstance(need, str):
         found = _grams(need)
         if found is None or paths.unicodedata.normalize("NFC", need) != need:
             return None
         kind, grams = found
+        if sizes is not None:
+            grams = sorted(grams, key=lambda g: (sizes.get((kind, g), 0), g))[:LOOKED_UP]
+            if sizes.get((kind, grams[0]), 0) > most:
+                return None
         some = posted.where((F.col("kind") == kind) & F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n"))
         return some.where(F.col("n") == len(grams)).select("doc_id")
-    parts = [candidates(posted, p) for p in need.parts]
+    parts = [candidates(posted, p, sizes, most) for p in need.parts]
     if isinstance(need, All):
         parts = [p for p in parts if p is not None]
         return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), parts) if parts else None
     return None if any(p is None for p in parts) else reduce(DataFrame.union, parts).distinct()
 
 
-def narrowed(files: DataFrame, posted: DataFrame, patterns: list[str], regex: bool) -> DataFrame:
-    """The files that the index cannot rule out. Paths that are not in NFC always stay: folding may part what they hold together."""
-    found = candidates(posted, requirement(patterns, regex))
+def _named(need) -> set[tuple[str, str]]:
+    if isinstance(need, str):
+        found = _grams(need)
+        return {(found[0], g) for g in found[1]} if found else set()
+    return set().union(*(_named(p) for p in need.parts)) if need.parts else set()
+
+
+def gram_sizes(grams: DataFrame, need) -> dict[tuple[str, str], int]:
+    """How many files have each gram of what is needed: a lookup of as many rows as the patterns have grams."""
+    keys = sorted(_named(need))
+    if not keys:
+        return {}
+    kinds = {k: [g for kind, g in keys if kind == k] for k, _ in keys}
+    hit = reduce(lambda a, b: a | b, ((F.col("kind") == k) & F.col("gram").isin(g) for k, g in kinds.items()))
+    return {(r.kind, r.gram): r.docs for r in grams.where(hit).collect()}
+
+
+def narrowed(files: DataFrame, posted: DataFrame, patterns: list[str], regex: bool, grams: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """The files that the index cannot rule out. Paths that are not in NFC always stay: folding may part what they hold together.
+
+    grams: (kind, gram, docs), and total: the number of files; with both, common grams are left alone.
+    """
+    need = requirement(patterns, regex)
+    sizes = gram_sizes(grams, need) if grams is not None else None
+    found = candidates(posted, need, sizes, MOST_SHARE * total if total is not None else float("inf"))
     if found is None:
         return files
-    kept = files.where("nfc_ok").join(found, "doc_id", "left_semi")
-    return kept.unionByName(files.where("not nfc_ok"))
+    # one pass over the files: what the index found is marked, and paths out of NFC stay without a mark
+    marked = files.join(found.withColumn("hit", F.lit(True)), "doc_id", "left")
+    return marked.where("hit or not nfc_ok").select(*files.columns)
+
+
+def with_extension(files: DataFrame, posted: DataFrame, name: str) -> DataFrame:
+    """The files of an extension, by the index."""
+    return files.join(posted.where((F.col("kind") == "ext") & (F.col("gram") == name)).select("doc_id"), "doc_id", "left_semi")
+
+
+def in_folder(files: DataFrame, posted: DataFrame, folder: str, below: bool = False) -> DataFrame:
+    """The files that lie right in a folder, or anywhere below it, by the index."""
+    folder = folder.rstrip("/")
+    hit = (F.col("gram") == folder) | (F.col("gram").startswith(folder + "/") if below else F.lit(False))
+    return files.join(posted.where((F.col("kind") == "dir") & hit).select("doc_id"), "doc_id", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernpath.functions import paths
@@ -30,12 +30,40 @@ def terminated(found: DataFrame, end: str = "\0") -> Iterator[str]:
         yield r.full_path + end
 
 
-def table(found: DataFrame, now: int, width: int = 80) -> str:
-    """Sizes and times right-aligned before the paths; in 50 columns or fewer, paths only."""
-    rows = found.orderBy("full_path").select(
-        "full_path", paths.human_size(F.col("size")).alias("s"), paths.relative_time(F.col("mtime"), now).alias("t"), paths.display_path(F.col("full_path"), max(width - 30, 10)).alias("p")
-    ).collect()
+# Terminal codes of the colours that sizes and times have.
+_CODES = {"grey": "90", "red": "31", "bright red": "91", "yellow": "33", "green": "32", "bright green": "92", "white": "37", "magenta": "35", "name": "1;97"}
+
+
+def _painted(text, colour) -> Column:
+    codes = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
+    return F.concat(F.lit("\x1b["), codes[colour], F.lit("m"), text, F.lit("\x1b[0m"))
+
+
+def cells(found: DataFrame, now: int, width: int = 80, icons: bool = False, colour: bool = False) -> DataFrame:
+    """(full_path, size_text, time_text, path_text) of a table: what each cell shows, with icons and colours if wanted."""
+    size, age = paths.human_size(F.col("size")), paths.relative_time(F.col("mtime"), now)
+    shown = paths.display_path(F.col("full_path"), max(width - 30, 10))
+    if colour:
+        name = paths.basename(F.col("full_path"))
+        before = F.substring(shown, F.lit(1), F.length(shown) - F.length(name))
+        shown = F.when(F.length(name) > 0, F.concat(before, _painted(name, F.lit("name")))).otherwise(shown)
+        size, age = _painted(size, paths.size_colour(F.col("size"))), _painted(age, paths.time_colour(F.col("mtime"), now))
+    shown = F.concat(paths.icon(F.col("full_path")), shown) if icons else shown
+    return found.select("full_path", size.alias("size_text"), age.alias("time_text"), shown.alias("path_text"))
+
+
+def table(found: DataFrame, now: int, width: int = 80, icons: bool = False, colour: bool = False) -> Iterator[str]:
+    """The lines of a table in path order, sizes and times right-aligned before the paths; in 50 columns or fewer, paths only.
+
+    Column widths come from an aggregate, so the rows are streamed and never held as a whole.
+    """
+    shown = cells(found, now, width, icons, colour)
     if width <= 50:
-        return "\n".join(r.full_path for r in rows)
-    s, t = (max([len(h), *(len(r[k]) for r in rows)]) for k, h in (("s", "Size"), ("t", "Modified")))
-    return "\n".join([f"{'Size':>{s}}  {'Modified':>{t}}  Path", *(f"{r.s:>{s}}  {r.t:>{t}}  {r.p}" for r in rows)])
+        yield from (r.full_path for r in shown.select("full_path").orderBy("full_path").toLocalIterator())
+        return
+    seen = {k: paths.visible_width(F.col(f"{k}_text")) for k in ("size", "time")}
+    widest = shown.agg(*(F.coalesce(F.max(w), F.lit(0)).alias(k) for k, w in seen.items())).first()
+    s, t = max(len("Size"), widest["size"]), max(len("Modified"), widest["time"])
+    yield f"{'Size':>{s}}  {'Modified':>{t}}  Path"
+    for r in shown.select("*", *(w.alias(f"{k}_width") for k, w in seen.items())).orderBy("full_path").toLocalIterator():
+        yield f"{' ' * (s - r.size_width)}{r.size_text}  {' ' * (t - r.time_width)}{r.time_text}  {r.path_text}"

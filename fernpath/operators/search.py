@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from fernpath.functions import literals, paths, regexes
 from fernpath.operators import index as idx
+from fernpath.operators.build import Index
 
 
 @F.pandas_udf(T.BooleanType())
@@ -39,11 +40,11 @@ def matches(df: DataFrame, patterns: list[str], *, ignore_case: bool = False, ba
 
 def search(
     files: DataFrame, patterns: list[str] | None = None, *, ignore_case: bool = False, basename: bool = False, regex: bool = False, limit: int | None = None,
-    size: str | None = None, modified: str | None = None, mime: str | None = None, now: int | None = None, existing: bool | DataFrame = False, index: DataFrame | None = None,
+    size: str | None = None, modified: str | None = None, mime: str | None = None, now: int | None = None, existing: bool | DataFrame = False, index: DataFrame | Index | None = None,
 ) -> DataFrame:
     """Files that match any pattern and all filters, with the columns they have; with a limit the first in order of their paths.
 
-    index: postings (kind, gram, doc_id) of files with `folded` and `nfc_ok`; it changes the plan but never the answer.
+    index: a written index, or postings (kind, gram, doc_id), of files with `folded` and `nfc_ok`; it changes the plan but never the answer.
     existing: True asks the file system of the task that holds the row, last of all; a DataFrame of full_path is joined instead.
     """
     patterns = patterns or []
@@ -56,7 +57,11 @@ def search(
         condition = condition & literals.modified(modified, F.col("mtime"), now)
     if mime is not None:
         condition = condition & literals.mime(mime).of(F.col("mime_type"))
-    found = idx.narrowed(files, index, patterns, regex) if index is not None and patterns else files
+    found = files
+    if isinstance(index, Index) and patterns:
+        found = idx.narrowed(files, index.postings, patterns, regex, index.grams, index.about.first().indexed_files)
+    elif index is not None and patterns:
+        found = idx.narrowed(files, index, patterns, regex)
     found = found.where(condition)
     if isinstance(existing, DataFrame):
         found = found.join(existing.select("full_path"), "full_path", "left_semi")
@@ -67,3 +72,17 @@ def search(
 
 def counted(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("count"))
+
+
+def fetched(files: DataFrame, ids: list[int]) -> DataFrame:
+    """The files with these doc_ids, each once, in order. An id that no file has is an error."""
+    found = files.where(F.col("doc_id").isin(ids)).orderBy("doc_id")
+    missing = sorted(set(ids) - {r.doc_id for r in found.select("doc_id").collect()})
+    if missing:
+        raise LookupError(f"no file has the number {missing[0]}")
+    return found
+
+
+def sliced(files: DataFrame, first: int, count: int) -> DataFrame:
+    """The files numbered from `first` on, `count` of them."""
+    return files.where((F.col("doc_id") >= first) & (F.col("doc_id") < first + count))

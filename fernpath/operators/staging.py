@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fernpath-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to spark.checkpoint.dir (our own folder where that is unset) and read it back, so that it stays as it is."""
+    """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fernpath-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_forget)
+    _written[path] = spark
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
+    found = spark.read.schema(schema).parquet(path)
+    found._stashed_at = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that no plan still to run reads."""
+    for df in tables:
+        remove(_written.pop(df._stashed_at), df._stashed_at)
+
+
+def _forget() -> None:
+    """Remove the written tables when the driver ends; if its JVM is gone already they stay for the cluster's clean-up."""
+    for path, spark in _written.items():
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001
+            return

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernpath.functions import paths
 from fernpath.operators import build, render
 from fernpath.operators import index as idx
-from fernpath.operators.search import counted, matches, search
-from fernpath.operators.staging import stash
+from fernpath.operators.search import counted, fetched, matches, search, sliced
+from fernpath.operators.staging import shared_dir
 
 NOW = 1706659200
 
@@ -47,13 +49,29 @@ def _search(name: str, where: str, patterns: list[str] | None = None, **how) ->
     query(f"SELECT $P FROM files WHERE {where}", name)(lambda spark, sf_dir: search(files(spark, sf_dir), patterns, **how))
 
 
-def _indexed(name: str, where: str, patterns: list[str], **how) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = stash(idx.with_folds(files(spark, sf_dir)), "files")
-        posted = stash(idx.all_postings(table), "postings")
-        return search(table, patterns, index=posted, **how).drop("folded", "nfc_ok")
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> build.Index:
+    """The written index of the files; built once for each application and input, read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        where = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        build.write(files(spark, sf_dir).drop("doc_id"), where, indexed_paths=["/"], timestamp=NOW)
+        _BUILT[key] = where
+    return build.read(spark, _BUILT[key])
+
+
+_ORDINAL = "SELECT row_number() OVER (ORDER BY full_path) - 1 AS doc_id, full_path, size, mtime, mode, mime_type FROM files"
+
 
-    query(f"SELECT $P FROM files WHERE {where}", name)(run)
+def _by_index(name: str, where: str, lookup) -> None:
+    columns = ["doc_id", "full_path", "size", "mtime", "mode", "mime_type"]
+    query(f"SELECT $P FROM ({_ORDINAL}) WHERE {where}", name)(lambda spark, sf_dir: lookup(index(spark, sf_dir)).select(*columns))
+
+
+def _indexed(name: str, where: str, patterns: list[str], **how) -> None:
+    _by_index(name, where, lambda found: search(found.files, patterns, index=found, **how))
 
 
 _search("literal_search", "contains(full_path, 'README') AND size >= 1000", ["README"], size="1000+")
@@ -89,6 +107,14 @@ _indexed("index_search_bigram", "contains(full_path, '.m')", [".m"])
 _indexed("index_search_multi", "contains(full_path, '.md') OR contains(full_path, '.rs') OR contains(full_path, '77')", [".md", ".rs", "77"])
 _indexed("index_search_short_pattern", "contains(full_path, '9') OR contains(full_path, 'README')", ["9", "README"])
 _indexed("index_regex_prefilter", r"regexp_matches(full_path, '(README|doc)_\d+5\.txt')", [r"(README|doc)_\d+5\.txt"], regex=True)
+_indexed("index_regex_limit", r"regexp_matches(full_path, 'README_\d+[05]\.') ORDER BY full_path LIMIT 15", [r"README_\d+[05]\."], regex=True, limit=15)
+_by_index("index_extension", "full_path LIKE '%.rs'", lambda found: idx.with_extension(found.files, found.postings, "rs"))
+_by_index("index_folder", "regexp_matches(full_path, '^/src1/en/[^/]*$')", lambda found: idx.in_folder(found.files, found.postings, "/src1/en"))
+_by_index("index_folder_below", "starts_with(full_path, '/src1/')", lambda found: idx.in_folder(found.files, found.postings, "/src1/", below=True))
+_by_index("point_fetch", "doc_id IN (3, 77, 150)", lambda found: fetched(found.files, [150, 3, 77]))
+_by_index("written_files", "true", lambda found: found.files)
+_search("regex_limit", r"regexp_matches(full_path, '\.md$') ORDER BY full_path LIMIT 12", [r"\.md$"], regex=True, limit=12)
+_search("regex_posix_class", r"regexp_matches(full_path, '_[0-9]+7\.(md|rs)$')", [r"_[[:digit:]]+7\.(md|rs)$"], regex=True)
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE contains(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ss')")
@@ -254,7 +280,7 @@ def time_class(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", paths.time_colour(F.col("mtime"), NOW).alias("colour"))
 
 
-_ICONS = " ".join(f"WHEN {_EXT.format('full_path')} IN ({', '.join(repr(n) for n in names)}) THEN '{paths.ICONS[g]}'" for g, names in paths.ICON_GROUPS.items())
+_ICONS = " ".join(f"WHEN {_EXT.format('full_path')} IN ({', '.join(repr(n) for n in names)}) THEN '{sign}'" for sign, names in paths.ICONS.items())
 
 
 @query(f"SELECT doc_id, CASE {_ICONS} ELSE '{paths.OTHER_ICON}' END AS icon FROM files")
@@ -262,6 +288,53 @@ def icons(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", paths.icon(F.col("full_path")).alias("icon"))
 
 
+@query(
+    f"""SELECT full_path, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE concat(size, ' B') END AS size_text,
+    CASE WHEN p < 86400 THEN concat(p // 3600, ' hours ago') WHEN p < 604800 THEN concat(p // 86400, ' days ago') WHEN p < 2592000 THEN concat(p // 604800, ' weeks ago')
+    ELSE concat(p // 2592000, ' months ago') END AS time_text, concat(CASE {_ICONS} ELSE '{paths.OTHER_ICON}' END, full_path) AS path_text
+    FROM (SELECT *, {NOW} + 3600 - mtime AS p FROM files) WHERE contains(full_path, 'README') AND p BETWEEN 3600 AND 2591999"""
+)
+def table_cells(spark, sf_dir):
+    now = NOW + 3600
+    found = search(files(spark, sf_dir), ["README"]).where(F.col("mtime").between(now - 2591999, now - 3600))
+    return render.cells(found, now, icons=True)
+
+
+@query("SELECT doc_id, octet_length(encode(full_path)) AS width FROM files")
+def visible_width(spark, sf_dir):
+    painted = F.concat(F.lit("\x1b[1;97m"), "full_path", F.lit("\x1b[0m"))
+    return files(spark, sf_dir).select("doc_id", paths.visible_width(painted).cast("long").alias("width"))
+
+
+def _lines(spark, sf_dir, end: str) -> DataFrame:
+    whole = "".join(render.terminated(search(files(spark, sf_dir), ["README"], limit=30), end))
+    return spark.createDataFrame([(whole.replace("\0", "<NUL>"),)], "output string")
+
+
+_FIRST = "(SELECT full_path FROM files WHERE contains(full_path, 'README') ORDER BY full_path LIMIT 30)"
+
+
+@query(f"SELECT string_agg(full_path || '<NUL>', '' ORDER BY full_path) AS output FROM {_FIRST}")
+def nul_output(spark, sf_dir):
+    return _lines(spark, sf_dir, "\0")
+
+
+@query(f"SELECT string_agg(full_path || chr(10), '' ORDER BY full_path) AS output FROM {_FIRST}")
+def plain_output(spark, sf_dir):
+    return _lines(spark, sf_dir, "\n")
+
+
+@query(
+    f"""SELECT concat('{{"database":"db","indexed_files":', (SELECT count(*) FROM files), ',"total_bytes_indexed":', (SELECT CAST(sum(size) AS BIGINT) FROM files),
+    ',"last_indexed":"2024-01-31T00:00:00+00:00","schema_version":2,"format_version":2,"trigrams":{{"count":', count(*), ',"min_docs":', min(n), ',"max_docs":', max(n),
+    ',"avg_docs":', CAST(sum(n) // count(*) AS BIGINT), ',"total_docs_indexed":', CAST(sum(n) AS BIGINT), ',"bytes":0}},"columns":["path","size","mtime","mode","mime_type"]}}') AS report
+    FROM (SELECT gram, count(*) AS n FROM ({_GRAMS.format(n=3)}) GROUP BY gram)"""
+)
+def statistics_report(spark, sf_dir):
+    found = index(spark, sf_dir)
+    return build.report("db", found.postings, found.about)
+
+
 @query("SELECT to_json({'path': full_path, 'size': size, 'mtime': mtime, 'mode': mode, 'mime_type': mime_type})::VARCHAR AS json FROM files WHERE contains(full_path, 'README')")
 def json_render(spark, sf_dir):
     return render.as_json(search(files(spark, sf_dir), ["README"]))
@@ -309,4 +382,4 @@ def dry_run_count(spark, sf_dir):
 
 @query("SELECT $P FROM files WHERE doc_id BETWEEN 10 AND 19")
 def slice_by_id(spark, sf_dir):
-    return files(spark, sf_dir).where(F.col("doc_id").between(10, 19))
+    return sliced(files(spark, sf_dir), 10, 10)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,25 @@ from pyspark.sql import functions as F
 
 from fernpath import schema
 from fernpath.functions import paths
+from fernpath.operators.staging import stash
+from fernpath.sources.ignores import Level
 
 # What is walked and left out by default.
 ROOTS = ["/home", "/etc", "/usr", "/opt"]
 PRUNES = ["/proc", "/sys", "/dev", "/run", "/tmp", "/var/tmp", "/snap", "/lost+found"]
+#: Names that a walk hands over to the executors at once.
+CHUNK = 200_000
+
+
+@dataclass
+class Counts:
+    """What a walk met: entries seen, files found, folders and entries left out, folders that could not be read, folders walked."""
+
+    scanned: int = 0
+    added: int = 0
+    skipped: int = 0
+    denied: int = 0
+    folders: int = 0
 
 
 def listing(spark: SparkSession, where: str) -> DataFrame:
@@ -29,47 +46,59 @@ def _inside(path: str, roots: list[str]) -> bool:
     return any(path == r or path.startswith(r + "/") for r in roots)
 
 
-def walk(roots: list[str], prunes: list[str] = (), quiet: bool = False) -> Iterator[str]:
+def walk(roots: list[str], prunes: list[str] = (), quiet: bool = False, counts: Counts | None = None) -> Iterator[str]:
     """Real paths of files below the roots, hidden ones too. Links to files count as their targets, links to folders are left out.
 
-    Folders are visited once even if roots overlap; what is pruned, broken or not UTF-8 is left out.
+    Folders are visited once even if roots overlap; what is pruned, broken, not UTF-8 or named by an ignore file is left out.
     """
     prunes = [os.path.realpath(p) for p in prunes if os.path.exists(p)]
     seen: set[tuple[int, int]] = set()
+    counts = counts or Counts()
     for root in roots:
         if not os.path.exists(root):
             if not quiet:
                 warnings.warn(f"skipped {root}: it does not exist", stacklevel=2)
             continue
-        stack = [os.path.realpath(root)]
+        start = os.path.realpath(root)
+        stack = [(start, Level.down_to(os.path.dirname(start)))]
         while stack:
-            folder = stack.pop()
+            folder, above = stack.pop()
             if _inside(folder, prunes):
+                counts.skipped += 1
                 continue
             try:
                 if os.path.isfile(folder):
+                    counts.scanned, counts.added = counts.scanned + 1, counts.added + 1
                     yield folder
                     continue
                 stat = os.stat(folder)
                 if (stat.st_dev, stat.st_ino) in seen:
+                    counts.skipped += 1
                     continue
                 seen.add((stat.st_dev, stat.st_ino))
                 entries = sorted(os.scandir(folder), key=lambda e: e.name)
             except OSError:
+                counts.denied += 1
                 continue
+            counts.folders += 1
+            level = Level.of(folder, above)
             for e in entries:
+                counts.scanned += 1
                 try:
                     e.path.encode()
                 except UnicodeEncodeError:
                     continue
-                if e.is_symlink():
-                    real = os.path.realpath(e.path)
-                    if os.path.isfile(real) and not _inside(real, prunes):
-                        yield real
-                elif e.is_dir(follow_symlinks=False):
-                    stack.append(e.path)
-                elif e.is_file(follow_symlinks=False):
-                    yield e.path
+                is_folder = e.is_dir(follow_symlinks=False)
+                if level.ignores(e.path, is_folder):
+                    counts.skipped += 1
+                    continue
+                if is_folder:
+                    stack.append((e.path, level))
+                    continue
+                real = os.path.realpath(e.path) if e.is_symlink() else e.path
+                if (os.path.isfile(real) if e.is_symlink() else e.is_file()) and not _inside(real, prunes):
+                    counts.added += 1
+                    yield real
 
 
 def _details(magic: bool):
@@ -91,8 +120,17 @@ def _details(magic: bool):
     return run
 
 
-def crawl(spark: SparkSession, roots: list[str] = ROOTS, prunes: list[str] = PRUNES, magic: bool = True, quiet: bool = False) -> DataFrame:
-    """Files of the driver's file system, with size, time, mode and type. Files whose details cannot be read are left out."""
-    names = spark.createDataFrame([(p,) for p in dict.fromkeys(walk(roots, prunes, quiet))], "full_path string")
-    found = names.mapInPandas(_details(magic), "full_path string, size long, mtime long, mode int, head binary")
-    return found.select("full_path", "size", "mtime", "mode", paths.mime_type(F.col("full_path"), F.col("head")).alias("mime_type")).select(*schema.COLUMNS)
+def crawl(spark: SparkSession, roots: list[str] = ROOTS, prunes: list[str] = PRUNES, magic: bool = True, quiet: bool = False, counts: Counts | None = None) -> DataFrame:
+    """Files of the driver's file system, with size, time, mode and type. Files whose details cannot be read are left out.
+
+    Names go to the executors in chunks, so that the driver holds one chunk at a time.
+    """
+    names, found = walk(roots, prunes, quiet, counts), None
+    while chunk := list(itertools.islice(names, CHUNK)) or ([] if found is not None else [None]):
+        part = spark.createDataFrame([(p,) for p in chunk if p is not None], "full_path string").mapInPandas(_details(magic), "full_path string, size long, mtime long, mode int, head binary")
+        part = part.select("full_path", "size", "mtime", "mode", paths.mime_type(F.col("full_path"), F.col("head")).alias("mime_type"))
+        part = stash(part.select(*schema.COLUMNS), "crawled")
+        found = part if found is None else found.unionByName(part)
+        if chunk == [None]:
+            break
+    return found.dropDuplicates(["full_path"])

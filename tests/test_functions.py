@@ -6,25 +6,25 @@ from fernpath.functions.regexes import ANYTHING, All, Any, java, needed
 
 @pytest.mark.parametrize(
     "text, value, op",
-    [("10MB+", 10_000_000, "ge"), ("1KB-", 1000, "le"), ("500MB", 500_000_000, "eq"), ("2GB+", 2_000_000_000, "ge"), (" 12 kb ", 12_000, "eq"), ("7", 7, "eq")],
+    [("36MB+", 36_000_000, "ge"), ("9KB-", 9000, "le"), ("81GB", 81_000_000_000, "eq"), ("4gb+", 4_000_000_000, "ge"), (" 12 kb ", 12_000, "eq"), ("7", 7, "eq"), ("0B-", 0, "le")],
 )
 def test_size(text, value, op):
     assert literals.size(text) == literals.Bound(value, op)
 
 
-@pytest.mark.parametrize("text, value, op", [("2d-", 172_800, "ge"), ("1w+", 604_800, "le"), ("30m", 1800, "eq"), ("-1h", -3600, "eq")])
+@pytest.mark.parametrize("text, value, op", [("11d-", 950_400, "ge"), ("3w+", 1_814_400, "le"), ("45m", 2700, "eq"), ("-6h", -21_600, "eq")])
 def test_age(text, value, op):
     assert literals.age(text) == literals.Bound(value, op)
 
 
-@pytest.mark.parametrize("read, text", [(literals.size, t) for t in ("abc", "", "1.5MB", "1TB", "1K")] + [(literals.age, t) for t in ("", "5", "1s", "1 d", "1D")] + [(literals.mime, t) for t in ("text", "", "*/*")])
+@pytest.mark.parametrize("read, text", [(literals.size, t) for t in ("many", " ", "2.5GB", "8TB", "3K", "++1")] + [(literals.age, t) for t in (" ", "12", "9s", "4 w", "2H")] + [(literals.mime, t) for t in ("audio", " ", "*/*")])
 def test_bad_literals(read, text):
     with pytest.raises(literals.LiteralError):
         read(text)
 
 
 def test_mime():
-    assert literals.mime("text/plain") == literals.Mime("text/plain", False)
+    assert literals.mime("audio/ogg") == literals.Mime("audio/ogg", False)
     assert literals.mime("image/p*g") == literals.Mime("image/pg", True)
 
 
@@ -35,16 +35,25 @@ def test_outside_the_dialect(pattern):
 
 
 def test_java_form():
-    assert java(r"\.rs$") == r"(?dU)\.rs\z"
+    assert java(r"\.lua$") == r"(?dU)\.lua\z"
     assert java(r"[$]\$", True) == r"(?diuU)[$]\$"
+    assert java("[[:digit:]x]+") == "(?dU)[[0-9]x]+" and java("[^[:^upper:]]") == "(?dU)[^[^A-Z]]"
+    assert java("(?m)a$") == "(?dU)(?m)a$" and java("(?m:a$)b$") == "(?dU)(?m:a$)b\\z" and java("(?m)(?-m:a$)$") == "(?dU)(?m)(?-m:a\\z)$" and java("((?m)a$)b$") == "(?dU)((?m)a$)b\\z"
+
+
+def test_dialect_in_the_engine(spark):
+    rows = spark.createDataFrame([("/a/77x",), ("/a/dgt",), ("one\ntwo",), ("/A/ä",)], "p string")
+    hit = lambda p: [r.p for r in rows.where(rows.p.rlike(regexes.checked(spark, p))).collect()]
+    assert hit("/[[:digit:]]+x$") == ["/a/77x"] and hit("[[:^ascii:]]") == ["/A/ä"] and hit("^/[[:upper:]]/") == ["/A/ä"]
+    assert hit("one$") == [] and hit("(?m)one$") == hit("(?m)^two") == ["one\ntwo"]
 
 
 def test_needed():
-    assert needed("foo|bar") == Any((All(("foo",)), All(("bar",))))
-    assert needed(r"\bfoo") == All(("foo",))
-    assert needed("colou?r") == All(("colo", "r"))
-    assert needed("x(ab)+y") == All(("x", "ab", "y"))
-    assert needed("[0-9]+") == needed("a*") == needed("(?m)foo") == ANYTHING
+    assert needed("oak|elm") == Any((All(("oak",)), All(("elm",))))
+    assert needed(r"\bash") == All(("ash",))
+    assert needed("grey?ish") == All(("gre", "ish"))
+    assert needed("p(qr)+s") == All(("p", "qr", "s"))
+    assert needed("[a-f]+") == needed("z*") == needed("(?m)elm") == needed("[[:digit:]]") == ANYTHING
     assert needed(r"a\.b") == All(("a.b",))
 
 
@@ -54,19 +63,19 @@ def test_grams(spark):
     def grams(text, n, fold=False):
         return spark.createDataFrame([(paths.fold(text) if fold else text,)], "t string").select(paths.grams(F.col("t"), n)).first()[0]
 
-    assert grams("foobar", 3) == ["bar", "foo", "oba", "oob"]
-    assert grams("/a", 3) == ["_/a"] and grams("a", 3) == ["_a_"] and grams("", 3) == ["___"]
-    assert grams("/aaa", 3) == ["/aa", "aaa"]
-    assert grams("README.md", 3, True) == [".md", "adm", "dme", "e.m", "ead", "me.", "rea"]
-    assert grams("foo.rs", 2) == [".r", "fo", "o.", "oo", "rs"] and grams("f", 2) == []
+    assert grams("willow", 3) == ["ill", "llo", "low", "wil"]
+    assert grams("xy", 3) == ["_xy"] and grams("x", 3) == ["_x_"] and grams("", 3) == ["___"]
+    assert grams("-zzzz", 3) == ["-zz", "zzz"]
+    assert grams("Elm.TXT", 3, True) == [".tx", "elm", "lm.", "m.t", "txt"]
+    assert grams("ivy.go", 2) == [".g", "go", "iv", "vy", "y."] and grams("v", 2) == []
 
 
 def test_path_parts(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("/a/.bashrc",), ("/a/foo.tar.gz",), ("/a/b/",), ("plain",), ("/a/foo.",)], "p string")
+    rows = spark.createDataFrame([("/q/.vimrc",), ("/q/elm.tar.xz",), ("/q/r/",), ("bare",), ("/q/elm.",)], "p string")
     found = [tuple(r) for r in rows.select(paths.extension(F.col("p")), paths.basename(F.col("p"))).collect()]
-    assert found == [("", ".bashrc"), ("gz", "foo.tar.gz"), ("", ""), ("", "plain"), ("", "foo.")]
+    assert found == [("", ".vimrc"), ("xz", "elm.tar.xz"), ("", ""), ("", "bare"), ("", "elm.")]
 
 
 def test_sizes_round_half_to_even(spark):

@@ -4,14 +4,16 @@ import pytest
 
 from fernpath.functions.regexes import RegexError
 from fernpath.operators import index as idx
-from fernpath.operators.search import search
+from fernpath.operators.search import fetched, search, sliced
 
+DAY = 86400
 ROWS = [
-    (0, "/home/user/foo.rs", 1234, 1746720000, 0o644, "text/x-rust"),
-    (1, "/home/user/bar.txt", 5678, 1746720100, 0o644, "text/plain"),
-    (2, "/etc/config.toml", 100, 1746700000, 0o600, "application/octet-stream"),
-    (3, "/home/user/README.md", 2000, 1746800000, 0o644, "text/markdown"),
-    (4, "/var/log/syslog", 500000, 1746600000, 0o600, "text/plain"),
+    (0, "/srv/mail/queue.lua", 300, 10 * DAY, 0o600, "text/x-lua"),
+    (1, "/srv/mail/LETTERS.csv", 7_000_000, 40 * DAY, 0o640, "text/csv"),
+    (2, "/data/maps/berlin.png", 45_000, 12 * DAY, 0o644, "image/png"),
+    (3, "/data/maps/notes.csv", 45_001, 41 * DAY, 0o644, "text/csv"),
+    (4, "/data/quay/tide-table", 0, 42 * DAY, 0o400, "application/octet-stream"),
+    (5, "/boot/kernel-6.1", 9_999_999, 1 * DAY, 0o755, "application/octet-stream"),
 ]
 SCHEMA = "doc_id long, full_path string, size long, mtime long, mode int, mime_type string"
 
@@ -27,9 +29,11 @@ def posted(files):
 
 
 CASES = [
-    (["foo"], {}, {0}), (["README"], {"ignore_case": True}, {3}), (["syslog"], {"basename": True}, {4}), (["rs"], {}, {0}), ([".md"], {"mime": "text/markdown"}, {3}),
-    ([], {"size": "500000+"}, {4}), ([r"\.rs$"], {"regex": True}, {0}), (["README"], {"regex": True, "ignore_case": True}, {3}), (["foo", "syslog"], {}, {0, 4}),
-    (["home/user"], {"basename": True}, set()), ([""], {}, {0, 1, 2, 3, 4}), ([], {"modified": "1d+", "now": 1746800000}, {2, 4}), ([], {"mime": "text/*"}, {0, 1, 3, 4}),
+    (["maps"], {}, {2, 3}), (["letters"], {"ignore_case": True}, {1}), (["letters"], {}, set()), (["qu"], {}, {0, 4}), (["quay"], {"basename": True}, set()), (["q"], {}, {0, 4}),
+    ([".csv"], {"mime": "text/csv", "size": "45KB-"}, set()), ([".csv"], {"size": "46KB-"}, {3}), ([], {"size": "7MB+"}, {1, 5}), ([], {"size": "45000"}, {2}),
+    ([r"\d\.\d$"], {"regex": True}, {5}), ([r"(berlin|notes)\.\w{3}$"], {"regex": True}, {2, 3}), (["^/SRV"], {"regex": True, "ignore_case": True}, {0, 1}), (["tide", "kernel"], {}, {4, 5}),
+    (["maps/"], {"basename": True}, set()), (["", "x"], {}, {0, 1, 2, 3, 4, 5}), ([], {"modified": "4w+", "now": 42 * DAY}, {0, 2, 5}), ([], {"modified": "2d-", "now": 42 * DAY}, {1, 3, 4}),
+    ([], {"mime": "text/*"}, {0, 1, 3}), (["a"], {"mime": "image/*", "modified": "5w+", "now": 60 * DAY}, {2}),
 ]
 
 
@@ -40,9 +44,12 @@ def test_fixture(files, posted, patterns, how, ids):
 
 
 def test_limit_and_errors(files):
-    assert [r.doc_id for r in search(files, ["user"], limit=2).collect()] == [3, 1]
-    assert search(files, ["user"], limit=0).count() == 0
-    for bad in ([], ["("], ["(?=x)"]):
+    assert [r.doc_id for r in search(files, ["data"], limit=2).collect()] == [2, 3]
+    assert search(files, ["data"], limit=0).count() == 0
+    assert [r.doc_id for r in fetched(files, [4, 1]).collect()] == [1, 4] and sliced(files, 2, 3).count() == 3
+    with pytest.raises(LookupError):
+        fetched(files, [1, 6])
+    for bad in ([], ["("], ["(?=x)"], ["[[:nope:]]"], ["(?U)a"]):
         with pytest.raises(RegexError):
             search(files, bad, regex=True)
 
