@@ -1,8 +1,9 @@
 """Personal data: four kinds by pattern, and more by contexts that those induce. SQL expressions only.
 
-Identifier-like strings are instances, the words before them are patterns. Instances of known kind vouch for the patterns they
-follow, patterns for the other instances that follow them, and so on for ROUNDS rounds over the whole corpus. What follows a
-pattern that ends with high confidence is found too, whatever its own form.
+Identifier-like strings are instances; the two words before one, the word before it and the word behind it are patterns. Instances
+of known kind vouch for the patterns they meet, patterns for the other instances that they meet, and so on for ROUNDS rounds over the
+whole corpus. What meets a pattern that ends with high confidence is found too, whatever its own form. Secrets have no base pattern;
+their seeds are the forms of well-known credentials and long hexadecimal strings.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from fernpath.llm.common import stash, table
 ROUNDS = 3
 #: A pattern must reach this score, over at least this many different instances of a kind, to discover others.
 CONFIDENT, SUPPORT = 0.6, 4
+#: The same for patterns of one word, which say less.
+CONFIDENT_ONE, SUPPORT_ONE = 0.8, 8
 KINDS = ["email", "ip", "card", "phone", "secret"]
 
 # The patterns of the base kinds. Looking behind keeps a start from being tried inside a run that has failed
@@ -25,9 +28,14 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Instances: strings of identifier characters with a digit, 6 or more long.
-INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,64}[0-9])[A-Za-z0-9._%+@-]{6,}+"
-#: Seeds of the kind `secret`, which has no base pattern.
-SECRET = "^([0-9a-f]{32,}|[0-9A-F]{32,})$"
+INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
+# Seeds of the kind `secret`: prefixes of well-known credentials, and hexadecimal strings with digits and letters.
+SECRETS = [
+    "(AKIA|ASIA|AGPA|AROA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{20,}", "github_pat_[A-Za-z0-9_]{22,}", "glpat-[A-Za-z0-9_-]{20,}", "sk-[A-Za-z0-9_-]{20,}", "(sk|pk|rk)_(live|test)_[A-Za-z0-9]{16,}",
+    "xox[abeoprs]-[A-Za-z0-9-]{10,}", "AIza[A-Za-z0-9_-]{35}", "ya29[.][A-Za-z0-9_-]{20,}", "SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}", "npm_[A-Za-z0-9]{36}", "hf_[A-Za-z0-9]{30,}",
+    "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", "(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}", "(?=.*[A-F])(?=.*[0-9])[0-9A-F]{16,}",
+]
+SECRET = f"^(?:{'|'.join(SECRETS)})[.]?$"
 
 _ID = "coalesce(cast(doc_id as long), -9223372036854775808)"
 _SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -69,10 +77,17 @@ def _base() -> str:
 
 
 def _candidates() -> str:
-    """Instances with their places and the up to two words before them; digits there count as alike."""
-    context = "regexp_replace(lower(regexp_extract(right(seg[i], 48), r'((?:\\S+\\s+)?\\S+\\s*)$', 1)), '[0-9]', '0')"
-    empty = "cast(array() as array<struct<s:int,e:int,p:string,x:string>>)"
-    return _found("t rlike '[0-9]'", INSTANCE, empty, "true", f"named_struct('s', q.b, 'e', q.b + length(x), 'p', {context}, 'x', x)")
+    """Instances with their places and patterns; digits in patterns count as alike. A pattern's first letter says which words it has.
+
+    Words before an instance are read backwards, so that each is looked at once however long it is.
+    """
+    left = r"regexp_extract(reverse(seg[i]), r'^(\s*+\S++(?:\s++\S++)?+)', 1)"
+    one = r"regexp_extract(reverse(seg[i]), r'^(\s*+\S++)', 1)"
+    right = r"regexp_extract(coalesce(get(seg, i + 1), ''), r'^(\s*+\S++)', 1)"
+    patterns = f"array(concat('b', reverse({left})), concat('a', reverse({one})), concat('c', {right}))"
+    patterns = f"transform(filter({patterns}, z -> length(z) > 1), z -> regexp_replace(lower(z), '[0-9]', '0'))"
+    empty = "cast(array() as array<struct<s:int,e:int,p:array<string>,x:string>>)"
+    return _found("t rlike '[0-9]'", INSTANCE, empty, "true", f"named_struct('s', q.b, 'e', q.b + length(x), 'p', {patterns}, 'x', x)")
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -81,7 +96,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
     key = docs.selectExpr("doc_id", f"{_ID} as d", f"xxhash64({text}) as tk", f"{text} as t")
     both = key.selectExpr("doc_id", "d", "tk", f"{_base()} as base", f"{_candidates()} as c")
     touch = "get(filter(base, b -> b.s < y.e and y.s < b.e), 0).k"
-    seed = f"transform(c, y -> named_struct('s', y.s, 'e', y.e, 'p', y.p, 'x', y.x, 'base', {touch}, 'k', coalesce({touch}, if(y.x rlike '{SECRET}', 4, null))))"
+    seed = f"transform(c, y -> named_struct('s', y.s, 'e', y.e, 'p', y.p, 'x', y.x, 'base', {touch}, 'k', coalesce({touch}, if(y.x rlike {_sql(SECRET)}, 4, null))))"
     return both.selectExpr("doc_id", "d", "tk", "base", f"{seed} as c")
 
 
@@ -101,23 +116,27 @@ def _score(edges: DataFrame) -> DataFrame:
             new = doubt.select("x", "k", (1 - F.exp("d")).alias("r"))
             belief = belief.where("r = 1").unionByName(new).groupBy("x", "k").agg(F.max("r").alias("r"))
     best = Window.partitionBy("p").orderBy(F.desc("score"), "k")
-    sure = pattern.where((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT))
+    two = F.col("p").startswith("b")
+    sure = pattern.where(two & (F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT) | ~two & (F.col("score") >= CONFIDENT_ONE) & (F.col("support") >= SUPPORT_ONE))
     return sure.withColumn("first", F.row_number().over(best)).where("first = 1").select("p", "k")
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, d, tk, base and spans (arrays of s, k, e sorted by start and kind), a row for each row of documents.
 
-    A null text counts as empty. Patterns are learned from the documents given, all of them; repeated strings count once.
+    A null text counts as empty. Patterns are learned from the documents given, all of them; repeated strings count once, so that
+    repeated rows change no score. Where patterns of several kinds discover a string, it is a span of each.
     """
     seen = stash(_scanned(docs), "seen")
     each = seen.select("d", "tk", F.explode("c").alias("c")).select("d", "tk", "c.*")
-    edges = stash(each.where("p <> ''").groupBy("p", "x").agg(F.min("k").alias("k")), "edges")
-    sure = _score(edges)
-    more = each.where("base is null").join(sure.withColumnRenamed("k", "kind"), "p").groupBy("d", "tk")
+    edges = stash(each.select("x", "k", F.explode("p").alias("p")).groupBy("p", "x").agg(F.min("k").alias("k")), "edges")
+    sure = stash(_score(edges), "sure")
+    open_ = each.where("k is null").select("d", "tk", "s", "e", F.explode("p").alias("p"))
+    more = open_.join(sure.withColumnRenamed("k", "kind"), "p").groupBy("d", "tk")
     more = more.agg(F.collect_set(F.expr("named_struct('s', s, 'k', kind, 'e', e)")).alias("more"))
-    spans = f"sort_array(concat(base, coalesce(more, cast(array() as {_SPANS}))))"
-    return seen.select("doc_id", "d", "tk", "base").join(more, ["d", "tk"], "left").selectExpr("doc_id", "d", "tk", "base", f"{spans} as spans")
+    seeds = "transform(filter(c, y -> y.base is null and y.k is not null), y -> named_struct('s', y.s, 'k', y.k, 'e', y.e))"
+    spans = f"sort_array(concat(base, {seeds}, coalesce(more, cast(array() as {_SPANS}))))"
+    return seen.join(more, ["d", "tk"], "left").selectExpr("doc_id", "d", "tk", "base", f"{spans} as spans")
 
 
 def _text(spans: str) -> str:
@@ -126,8 +145,10 @@ def _text(spans: str) -> str:
 
 
 def listed(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans by kind, base_sha256, all spans, n_secret and n_spans, a row for each row of documents."""
     counts = [f"cast(size(filter(base, y -> y.k = {n})) as bigint) as n_{k}" for n, k in enumerate(KINDS[:4])]
-    return found(docs.select("doc_id", "text")).selectExpr("doc_id", *counts, f"sha2({_text('base')}, 256) as base_sha256", f"{_text('spans')} as spans")
+    after = ["cast(size(filter(spans, y -> y.k = 4)) as bigint) as n_secret", "cast(size(spans) as bigint) as n_spans"]
+    return found(docs.select("doc_id", "text")).selectExpr("doc_id", *counts, f"sha2({_text('base')}, 256) as base_sha256", f"{_text('spans')} as spans", *after)
 
 
 def masked(docs: DataFrame) -> DataFrame:
