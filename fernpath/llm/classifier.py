@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fernpath.llm.common import blocks, id_text, out, raw, table
 
-#: Bounds of the training sample: labelled texts of each class, and bytes of each; half go to the dictionary, half to the curve.
-SAMPLE_TEXTS, SAMPLE_BYTES = 4_000, 4_096
+#: Bound of the training sample: labelled texts of each class, whole; half go to the dictionary, half to the curve.
+SAMPLE_TEXTS = 2_000
 DICT_BYTES, LEVEL = 32_000, 1
 #: Texts are compressed in blocks of this many bytes, each from the dictionary alone, so that a long text's own past does not stand in for it.
 TEXT_BLOCK = 512
@@ -29,24 +29,31 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT):
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
-    """For each class up to SAMPLE_TEXTS training texts (cut to SAMPLE_BYTES), those with the smallest hashes of their ids."""
+    """For each class up to SAMPLE_TEXTS whole training texts, those with the smallest hashes of their ids.
+
+    Ids with several texts count with the smallest of them, ids with several labels in each class that they have.
+    """
     found = {}
     for quality in (0, 1):
         ids = (
             labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == quality) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"))
             .distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
         )
-        rows = raw(docs).join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))  # SAMPLE_TEXTS ids at most
-        found[quality] = [bytes(t) for _, t in sorted((r.doc_id, r.text) for r in rows.dropDuplicates(["doc_id"]).collect())]
+        rows = raw(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # SAMPLE_TEXTS ids at most
+        found[quality] = [bytes(t) for _, t in sorted((r.doc_id, r.text) for r in rows.collect())]
     return found
 
 
 def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary where there is enough text for one, else the texts themselves as raw content."""
+    """A trained dictionary where there is enough text for one, else the texts themselves as raw content.
+
+    Texts are given to the training in blocks of TEXT_BLOCK bytes, as they are compressed later.
+    """
     total = sum(map(len, texts))
     if total > 20 * 1024 and len(texts) >= 16:
+        samples = [t[k : k + TEXT_BLOCK] for t in texts for k in range(0, len(t), TEXT_BLOCK)]
         try:
-            return zstandard.train_dictionary(min(size, max(2048, total // 4)), texts).as_bytes()
+            return zstandard.train_dictionary(min(size, max(2048, total // 4)), samples).as_bytes()
         except zstandard.ZstdError:
             pass
     return b"".join(texts)[:size] or b"\n" * 64
@@ -116,4 +123,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; see `scores` for odd rows."""
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
