@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernpath.llm.chunks import Encoder, load
-from fernpath.llm.common import blocks, out, raw, table
+from fernpath.llm.common import blocks, most_frequent, out, raw, release, stash, table
 from fernpath.llm.lexicon import Lexicon, compiled
 
 #: Words in the lexicon: the most frequent ones of the corpus. It bounds what is broadcast; no id depends on it.
@@ -107,7 +107,7 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent chunks of all texts, ties in order of the chunks themselves; at most `most`."""
+    """The most frequent chunks of all texts, `most` at most; chunks found once are none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -120,8 +120,11 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
                 found.clear()
         yield out(schema, list(found), list(found.values()))
 
-    counts = raw(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.where("length(word) <= 40").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = raw(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stash(counts, "words")
+    found = [r.word for r in most_frequent(counts, most)[0].select("word").collect()]
+    release(counts)
+    return found
 
 
 def build_lexicon(words: list[str], path: str) -> bytes:
@@ -134,7 +137,8 @@ def build_lexicon(words: list[str], path: str) -> bytes:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, a row for each row of documents; a null text counts as empty.
 
-    A special token's string in a text is that token, as in the library. `path` names a byte-level vocabulary file.
+    A special token's string in a text is that token, as in the library. `path` names a byte-level vocabulary file. Rows are
+    encoded one by one, so that repeated rows and ids have equal results.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
@@ -152,4 +156,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, by digests; see `round_trip` for odd rows."""
     return round_trip(table(spark, sf_dir, "documents"))

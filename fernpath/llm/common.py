@@ -1,76 +1,41 @@
-"""What the operators share: reading tables, written intermediate tables, byte batches."""
+"""What the operators share: reading tables, written intermediate tables, byte batches.
+
+Rows are handed on as they are: none of these functions drops or joins rows, so nulls, ties and repeated rows stay the operators' affair.
+"""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernpath.operators.staging import release, shared_dir, stash  # noqa: F401
+
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = " \t\n\x0b\x0c\r"
 #: Texts are handled in Python in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 
-_written: dict[str, SparkSession] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset and all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="fernpath-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_forget)
-    _written[path] = spark
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
-    found = spark.read.schema(schema).parquet(path)
-    found._stashed_at = path
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove written tables that no plan still to run reads."""
-    for df in tables:
-        _remove(_written.pop(df._stashed_at), df._stashed_at)
-
-
-def _forget() -> None:
-    """Remove the written tables when the driver ends; if its JVM is gone already they stay for the cluster's clean-up."""
-    for path, spark in _written.items():
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001
-            return
+def most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows (.., n) with the highest n, `most` at most and never some of those that share an n, and the least n among them.
+
+    Counts are tallied by their logarithms first, so that only the rows wanted leave the executors. Where the least tally alone
+    is too large nothing is returned; the least n is then one more than any.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    tally = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("largest")).collect()  # 16 rows for each doubling
+    total, least = 0, 1 + max((r.largest for r in tally), default=0)
+    for r in sorted(tally, reverse=True):
+        if (total := total + r.rows) > most:
+            break
+        least = r.least
+    return counts.where(F.col("n") >= least), least
 
 
 def id_text(column: str = "doc_id"):

@@ -57,6 +57,33 @@ def test_classifier_tells_classes_apart():
     assert all(model.score(t) > 0.5 for t in good[80:]) and all(model.score(t) < 0.5 for t in bad[80:])
 
 
+def test_classifier_agrees_with_plain_zstd(spark):
+    """Scores from zstandard called directly, with whole training texts, however long."""
+    import zstandard
+
+    word = lambda q: rng.choice(["quiet", "river", "reads", "of", "the."] if q else ["BUY", "$$$", "now**", "|", "CLICK"]) + rng.choice(["", "", str(rng.randrange(9))])
+    rows = [(i, " ".join(word(i % 2) for _ in range(rng.choice([20, 60, 3000])))) for i in range(150)] + [(150, None), (151, "")]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    found = by_id(classifier.scores(docs, spark.createDataFrame([(i, i % 2) for i in range(152)], "doc_id long, quality int")))
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    texts = {q: [(t or "").encode() for i, t in rows if i % 2 == q and i not in held] for q in (0, 1)}
+    cuts = lambda t: [t[k : k + 512] for k in range(0, len(t), 512)]
+    packers = []
+    for q in (0, 1):
+        mine = texts[q][::2]
+        size = min(classifier.DICT_BYTES, max(2048, sum(map(len, mine)) // 4))
+        packers.append(zstandard.ZstdCompressor(level=1, dict_data=zstandard.train_dictionary(size, [c for t in mine for c in cuts(t)]), write_content_size=False, write_dict_id=False, write_checksum=False))
+
+    def difference(t):
+        bad, good = (sum(len(p.compress(c)) for c in cuts(t)) for p in packers)
+        return (bad - good) / (bad + good) if t else 0.0
+
+    slope, offset = classifier.curve(*map(np.array, zip(*((difference(t), float(q)) for q in (0, 1) for t in texts[q][1::2]))))
+    for i, t in rows:
+        want = 1 / (1 + math.exp(-max(-30, min(30, slope * difference((t or "").encode()) + offset))))
+        assert found[i].score == pytest.approx(want, abs=0.02) and found[i].held_out == (i in held)
+
+
 def test_deep_shallow():
     for trial in range(150):
         strings = [bytes(rng.choices(b"ab\0", k=rng.randint(0, rng.choice([3, 12, 60])))) for _ in range(rng.randint(1, 25))]
@@ -107,6 +134,17 @@ def test_lexicon():
     assert all(lexicon.get(w) is None for w in (b"", b"zz", b"abcabcabcabc"))
 
 
+def test_most_frequent_words(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k + 1))) for k in range(60)], "doc_id long, text string")
+    counts = collections.Counter(w for k in range(60) for w in bpe.CHUNK.findall(" ".join(f"w{j}" for j in range(k + 1))))
+    for most in (0, 7, 1000):
+        found = bpe.frequent_words(docs, most)
+        assert len(found) <= most and len(set(found)) == len(found)
+        rest = [n for w, n in counts.items() if w not in set(found) and n > 1]
+        assert not found or not rest or min(counts[w] for w in found) > max(rest)
+    assert len(bpe.frequent_words(docs, 1000)) == sum(n > 1 for n in counts.values())
+
+
 def test_bpe(docs, rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     found = by_id(bpe.round_trip(docs))
