@@ -96,8 +96,9 @@ class Codec:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return [i for piece in self.merger.pattern.findall(chunk) for i in self.merger.piece(piece.encode())]
 
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        return [self._chunk(c) for c in chunks]
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._chunk(c) for c in chunks]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encoder.block(texts)

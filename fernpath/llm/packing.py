@@ -9,7 +9,9 @@ rows: at most MAX_LEN sizes, whatever the number of documents. Ranks and places
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernpath.llm.bpe import FIRST_LEFT, LONG_PIECE, Merger
-from fernpath.llm.chunks import Encoder, load
+from fernpath.llm.chunks import Encoder, lasting, load
 from fernpath.llm.common import blocks, out, raw, stash, table
 
 MAX_LEN = 4096
 END_ID = 1
 #: Rows of one size are ranked in this many parts, so that one size with most of the rows does not fall to one task.
 RANK_PARTS = 64
-#: A task forgets parts of chunks beyond this number; results do not depend on it.
+#: Texts are encoded in blocks of about this many bytes.
+TEXT_BYTES = 4 << 20
+#: A worker forgets parts of chunks beyond this number; results do not depend on it.
 MOST_PARTS = 300_000
 
 
@@ -75,34 +79,48 @@ def plan(counts: dict[int, int], capacity: int = MAX_LEN) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of white-space chunks in a vocabulary of lower-case words: its pattern parts a chunk, equal parts are encoded once."""
+    """Ids of white-space chunks in a vocabulary of lower-case words: its pattern parts chunks, equal parts are encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.merger, self.known = load(path), Merger(path), {}
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.tokenizer, self.merger = load(path), Merger(path)
+        # a line feed, which no chunk holds, stands between chunks
+        self.find = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.odd = re.compile(f"[{FIRST_LEFT}-\U0010ffff]").search
+        self.clear()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def clear(self) -> None:
+        self.known, self.size, self.ids = {"\n": 0}, array("q", [0]), array("I")
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
+    def _left(self, chunk: str) -> bool:
+        """Long chunks, and what other Unicode tables might see otherwise, are left to the library."""
+        return len(chunk) > LONG_PIECE or bool(self.odd(chunk.lower()))
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_PARTS:
-            self.known.clear()
-        known, piece, found, left = self.known, self.merger.piece, [], []
-        for k, chunk in enumerate(chunks):
-            low = chunk.lower()
-            if max(low) >= FIRST_LEFT or len(low) > LONG_PIECE:
-                left.append(k)  # long chunks, and what other Unicode tables might see otherwise, are left to the library
-                found.append([])
-                continue
-            ids: list[int] = []
-            for part in self.find(low):
-                if (own := known.get(part)) is None:
-                    own = known[part] = piece(part.encode())
-                ids += own
-            found.append(ids)
-        for k, ids in zip(left, self._ids([chunks[k] for k in left]) if left else [], strict=True):
-            found[k] = ids
-        return found
+            self.clear()
+        whole, left = "\n".join(chunks), []
+        if len(max(chunks, key=len)) > LONG_PIECE or self.odd(whole.lower()):
+            left = [k for k, c in enumerate(chunks) if self._left(c)]
+            whole = "\n".join("" if out_ else c for c, out_ in zip(chunks, np.isin(np.arange(len(chunks)), left), strict=True))
+        parts, known, piece = self.find(whole.lower()), self.known, self.merger.piece
+        for part in set(parts) - known.keys():
+            own = piece(part.encode())
+            known[part] = len(self.size)
+            self.size.append(len(own))
+            self.ids.extend(own)
+        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        size, ids = np.array(self.size, np.int64), np.array(self.ids, np.uint32)
+        n, starts = size[at], np.concatenate(([0], np.cumsum(size)))[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.repeat(starts - ends + n, n) + np.arange(total)]
+        counts = np.bincount(np.cumsum(at == 0), n, len(chunks)).astype(np.int64)
+        if not left:
+            return flat, counts
+        lists = np.split(flat, np.cumsum(counts)[:-1])
+        for k, e in zip(left, self.tokenizer.encode_batch_fast([chunks[k] for k in left], add_special_tokens=False), strict=True):
+            lists[k] = np.array(e.ids, np.uint32)
+        return np.concatenate(lists), np.array([len(x) for x in lists])
 
 
 def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
@@ -110,9 +128,12 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder(path)
-        encoder = Encoder(words.tokenizer, str.split, words)
-        for part in blocks(batches):
+        def made():
+            words = WordEncoder(path)
+            return Encoder(words.tokenizer, str.split, words)
+
+        encoder = lasting(("words", path), made)
+        for part in blocks(batches, most=TEXT_BYTES):
             rows = []
             texts = [t.decode() for t in part.column("text").to_pylist()]
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.block(texts), strict=True):
