@@ -489,6 +489,20 @@ def test_neighbours(spark):
     assert dict(got) == want
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_neighbours_of_any_size(spark, size):
+    x = np.random.default_rng(3).normal(size=(400, 8)).round(1) * size
+    x[350:] *= 1e-3
+    vectors = neighbours.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist())], "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0")).collect()):
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 400, 100):
+        far = {k: math.dist((x[q] / size).tolist(), (x[k] / size).tolist()) for k in range(400) if k != q}
+        want = sorted([*far, 7], key=lambda k: (far[k], k))[:10]  # the row found twice counts twice
+        assert [far[k] for k in got[q]] == pytest.approx([far[k] for k in want], rel=1e-9)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
