@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, SparkSession] = {}
 
 
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not _one_process(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fernpath-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,8 +38,9 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_forget)
     _written[path] = spark
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
+    if not _one_process(spark):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
     found = spark.read.schema(schema).parquet(path)
     found._stashed_at = path
     return found
