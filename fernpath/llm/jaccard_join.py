@@ -256,7 +256,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, p
 def _first_index(classes: DataFrame, scheme: Scheme) -> DataFrame:
     """(entry, c, n, pos): entries of all classes from their counted shingles, those that one class alone has left out."""
     each = classes.select("c", F.explode("tokens").alias("t"))
-    times = each.groupBy("t").agg(F.count("*").cast("int").alias("times")).where("times > 1")
+    # written, here and below, so that its shuffle files go before the next ones come, and rows of a hot key can be dealt to many tasks
+    times = stash(each.groupBy("t").agg(F.count("*").cast("int").alias("times")).where("times > 1"), "times")
     many = each.join(times, "t").groupBy("c").agg(F.collect_list(F.struct("times", "t")).alias("s"))
     many = many.join(classes.select("c", "n", F.size("tokens").alias("low"), "more"), "c")
     many = many.selectExpr("c", "n", "cast(low - size(s) as bigint) as alone", "s.times as times", "s.t as tokens", "more")
@@ -264,30 +265,33 @@ def _first_index(classes: DataFrame, scheme: Scheme) -> DataFrame:
     # classes whose counted shingles are all their own can still meet in what follows them
     rest = classes.where(F.size("more") > 0).join(many.select("c"), "c", "left_anti")
     rest = rest.selectExpr("c", "n", "cast(size(tokens) as bigint) as alone", "cast(array() as array<int>) as times", "cast(array() as array<bigint>) as tokens", "more")
-    return found.unionByName(rest.mapInArrow(_entries(scheme), "entry long, c long, n long, pos long"))
+    found = stash(found.unionByName(rest.mapInArrow(_entries(scheme), "entry long, c long, n long, pos long")), "index")
+    release(times)
+    return found
 
 
 def _second_index(docs: DataFrame, some: DataFrame, width: int, percent: int) -> DataFrame:
     """(entry, c, n, pos): the prefixes of the classes (c, n, rep) given, all their shingles counted among those classes."""
     full = stash(_full(docs, some, width).join(some.select("c", "n"), "c"), "whole")
     each = full.select("c", "n", F.explode("tokens").alias("t"))
-    times = each.groupBy("t").agg(F.count("*").alias("times")).where("times > 1")
+    times = stash(each.groupBy("t").agg(F.count("*").alias("times")).where("times > 1"), "times")
     many = each.join(times, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("times", "t"))).alias("s"))
     # at most n - ceil(percent n / 100) shingles of a set are missing from a similar one
     many = many.selectExpr("c", "n", "s", "n - size(s) as alone", f"cast(n - ceil({percent} * n / 100) + 1 - (n - size(s)) as int) as fill").where("fill > 0")
     found = many.select("c", "n", "alone", F.posexplode(F.expr("transform(slice(s, 1, fill), x -> x.t)")).alias("k", "entry"))
     found = stash(found.selectExpr("entry", "c", "n", "alone + k as pos"), "second")
-    release(full)
+    release(full, times)
     return found
 
 
 def _apart(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of an index (entry, c, n, root, pos) that lie in different groups and may yet be similar.
+    """Pairs (a, b) of an index (entry, c, n, pos, root) that lie in different groups and may yet be similar.
 
     The largest side of an entry is never paired with itself. Where two similar sets first share a shingle of the common order,
     what either has before it is missing from the other.
     """
     sides = index.groupBy("entry", "root").count().groupBy("entry").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("sides")).where("sides > 1")
+    sides = stash(sides, "sides")
     placed = index.join(sides.select("entry", "main"), "entry")
     side = lambda x: [F.col(k).alias(k + x) for k in ("c", "n", "root", "pos")]
     few, every = placed.where("root <> main").select("entry", *side("x")), placed.select("entry", "main", *side("y"))
@@ -303,7 +307,7 @@ def _led(index: DataFrame, percent: int) -> DataFrame:
     The class with the fewest rarer shingles leads: what is common to a group is all it has.
     """
     leads = index.groupBy("entry").agg(F.min(F.struct("pos", F.expr("-n as less"), "c")).alias("lead"), F.count("*").alias("times")).where("times > 1")
-    met = index.join(leads.selectExpr("entry", "-lead.less as ln", "lead.c as a"), "entry")
+    met = index.join(stash(leads.selectExpr("entry", "-lead.less as ln", "lead.c as a"), "leads"), "entry")
     return met.where(f"c <> a and 100 * least(ln, n) >= {percent} * greatest(ln, n)").select("a", F.col("c").alias("b")).distinct()
 
 
@@ -315,7 +319,7 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
 def _split(index: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of (c, n, rep, root) whose class shares an entry with a class of another root."""
     placed = index.select("entry", "c").join(rooted, "c")
-    split = placed.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
+    split = stash(placed.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry"), "split")
     return stash(placed.join(split, "entry", "left_semi").select("c", "n", "rep", "root").distinct(), "apart")
 
 
@@ -329,7 +333,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     classes = stash(classes.withColumnRenamed("lo", "c").drop("hi"), "classes")
     rows = stash(stored.selectExpr("doc_id", "tk", "n", "if(n > 0, lo, null) as c"), "rows")
     release(stored)
-    index = stash(_first_index(classes.where(f"n >= {scheme.least}"), scheme), "index")
+    index = _first_index(classes.where(f"n >= {scheme.least}"), scheme)
     first = _verify(docs, _led(index, percent), classes, width, percent)
     # classes that are still apart although they share an entry
     some = _split(index, _rooted(classes, first))
@@ -392,3 +396,16 @@ def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of `documents` by links of three-word shingles and a similarity of 0.9 or more; see `groups` for odd rows."""
     return groups(table(spark, sf_dir, "documents"))
+
+
+#: The same groups by comparing the sets of all documents that share a shingle.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {WIDTH - 2}))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s AS x JOIN s AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
