@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.llm.common import blocks, id_text, out, raw, stash, table
+from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, stash, table
 
 #: Bytes of context in all: a byte and its context fit in 64 bits up to 7.
 DEPTH = 5
@@ -420,8 +420,8 @@ def scores(docs: DataFrame) -> DataFrame:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = (counts.where("kind = 2").agg(F.sum("n").alias("n")).first().n) or 0
     n_all, vocabulary = int(total.n) + int(ends), int(total.v) + (ends > 0)
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toPandas().sort_values("key")
-    bound = int(head["n"].min()) if len(head) else 0
+    head, bound = most_frequent(words, HEAD_WORDS)
+    head = head.toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((*tree, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
     log_all = math.log10(n_all + 0.5 * (vocabulary + 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
@@ -450,11 +450,11 @@ def scores(docs: DataFrame) -> DataFrame:
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
     told = asked.mapInArrow(_answers(shared), "block long, shard int, data binary").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
     found = held.join(told, "block").select("docs", "told").mapInArrow(run, fields)
-    if vocabulary <= HEAD_WORDS:  # then a word outside the head did not occur in training
+    if len(head) == total.v:  # then a word outside the head did not occur in training
         unknown = F.lit(math.log10(0.5) - log_all) * F.size("rare")
         return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).alias("train_tokens"), (F.col("base_score") + unknown).alias("base_score"), "score")
     found = stash(found.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = words.where(F.col("n") <= bound).withColumnsRenamed({"key": "word", "n": "c"})
+    rest = words.where(F.col("n") < bound).withColumnsRenamed({"key": "word", "n": "c"})
     rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(rest, "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
@@ -468,4 +468,5 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and byte scores of every document; see `scores` for odd rows."""
     return scores(table(spark, sf_dir, "documents"))
