@@ -1,9 +1,10 @@
-"""Best-fit packing of token sequences, in supersteps over size classes.
+"""Best-fit packing of token sequences, in supersteps over sizes.
 
 Documents and gaps are kept sorted by size. A superstep takes the documents of one size, longest first; a sweep finds for them
 the gaps that follow that size most closely; where more documents than gaps (or more gaps than documents) meet, rank decides who
 gets which; the gaps shrink and the next step begins. Rows of one size differ only by rank, so the steps run on runs of equal
-rows: at most MAX_LEN sizes, whatever the number of documents. Ranks and places of the rows themselves stay distributed.
+rows: at most MAX_LEN sizes, whatever the number of documents. That part runs on the driver, which is where this departs from a
+sweep over the rows themselves; ranks and places of the rows stay distributed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from fernpath.llm.common import blocks, out, raw, stash, table
 
 MAX_LEN = 4096
 END_ID = 1
-#: Rows of one size are ranked in this many parts, so that one size with most of the rows does not fall to one task.
-RANK_PARTS = 64
+#: Rows of one size are ranked in parts of about this many rows, 64 parts at least, so that one size with most rows is no one task's.
+RANK_ROWS, LEAST_PARTS = 1 << 18, 64
 #: Texts are encoded in blocks of about this many bytes.
 TEXT_BYTES = 4 << 20
 #: A worker forgets parts of chunks beyond this number; results do not depend on it.
@@ -147,37 +148,36 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
 
 
 def place(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """The pieces with sequence_id and offset. `found` is read twice and so must be a table that gives the same rows each time."""
+    """The pieces with sequence_id and offset. `found` is read twice and so must be a table that gives the same rows each time.
+
+    Which of several pieces of one length goes where is settled by their ranks; ranks are dealt part by part.
+    """
     spark = found.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    found = found.withColumn("part", part)
-    tally = found.groupBy("length", "part").count().collect()  # at most max_len * RANK_PARTS rows
-    before, counts = {}, {}
-    for r in sorted(tally):
-        before[r.length * RANK_PARTS + r.part] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r["count"]
-    keys = np.array(sorted(before), np.int64)
-    firsts = np.array([before[k] for k in keys.tolist()], np.int64)
+    parts = max(LEAST_PARTS, -(-found.count() // RANK_ROWS))
+    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    tally = stash(found.groupBy("length", "part").agg(F.count("*").alias("n")), "tally")
+    counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     moves = plan(counts, max_len)
-    moves = moves[np.lexsort((moves[:, 1], moves[:, 0]))]
-    shared = spark.sparkContext.broadcast((keys, firsts, moves))
+    shared = spark.sparkContext.broadcast(moves[np.lexsort((moves[:, 1], moves[:, 0]))])
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    starts = stash(tally.select("length", "part", before.alias("before")), "starts")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, firsts, moves = shared.value
+        moves = shared.value
         stride = int(moves[:, 1].max(initial=0)) + int(moves[:, 2].max(initial=0)) + 1
         begins = moves[:, 0] * stride + moves[:, 1]
         for b in batches:
             if not b.num_rows:
                 continue
-            get = lambda n: b.column(n).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
-            length = get("length")
-            rank = get("rank") - 1 + firsts[np.searchsorted(keys, length * RANK_PARTS + get("part"))]
+            length, rank = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "rank"))
             move = moves[np.searchsorted(begins, length * stride + rank, "right") - 1]
             yield out(schema, *(b.column(n) for n in names[:5]), move[:, 3] + rank - move[:, 1], move[:, 4])
 
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long"))
+    place_in_part = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long")
+    ranked = found.withColumn("place", place_in_part).join(starts, ["length", "part"])
+    ranked = ranked.select(*names[:5], (F.col("before") + F.col("place") - 1).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
@@ -191,4 +191,5 @@ def packed(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN) ->
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document lies among sequences of at most 4,096 tokens; see `packed` for odd rows."""
     return packed(table(spark, sf_dir, "documents"))

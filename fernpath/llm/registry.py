@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op10_block_matrix_neighbours": neighbours.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op10_block_matrix_neighbours": neighbours.ORACLE}
