@@ -22,12 +22,14 @@ from fernpath.llm.lexicon import Lexicon, compiled
 
 #: Words in the lexicon: the most frequent ones of the corpus. It bounds what is broadcast; no id depends on it.
 LEXICON_WORDS = 50_000
-#: Chunks of more bytes than this are left to the library.
-LONG_PIECE = 256
 #: A byte that UTF-8 never has.
 END_MARK = b"\xff"
-#: Chunks with characters from here on are left to the library, so that no two Unicode tables can disagree.
-FIRST_LEFT = "ɐ"
+#: Chunks of characters whose class every table of Unicode has had alike for long: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari,
+#: kana, Han, Hangul and common punctuation. Others are left to the library, so that no two tables can disagree.
+SETTLED = regex.compile(
+    "[\u0000-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0660-\u0669\u0905-\u0939"
+    "\u0966-\u096f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff0f]*+"
+).fullmatch
 
 #: White space goes with the word behind it; at the end of a text it stands alone. No piece of a text crosses such a border.
 CHUNK = re.compile(r"\s*\S+|\s+")
@@ -92,7 +94,7 @@ class Codec:
         data = chunk.encode()
         if self.lexicon and (found := self.lexicon.get(data)) is not None:
             return found
-        if max(chunk) >= FIRST_LEFT or len(data) > LONG_PIECE:
+        if not SETTLED(chunk):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return [i for piece in self.merger.pattern.findall(chunk) for i in self.merger.piece(piece.encode())]
 

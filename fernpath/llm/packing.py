@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernpath.llm.bpe import FIRST_LEFT, LONG_PIECE, Merger
+from fernpath.llm.bpe import Merger
 from fernpath.llm.chunks import Encoder, lasting, load
 from fernpath.llm.common import blocks, out, raw, stash, table
 
@@ -30,6 +30,8 @@ MAX_LEN = 4096
 END_ID = 1
 #: Rows of one size are ranked in parts of about this many rows, 64 parts at least, so that one size with most rows is no one task's.
 RANK_ROWS, LEAST_PARTS = 1 << 18, 64
+#: Chunks with characters from here on are left to the library, since lower case and normal form may depend on what stands around.
+FIRST_LEFT = "ɐ"
 #: Texts are encoded in blocks of about this many bytes.
 TEXT_BYTES = 4 << 20
 #: A worker forgets parts of chunks beyond this number; results do not depend on it.
@@ -92,17 +94,14 @@ class WordEncoder:
     def clear(self) -> None:
         self.known, self.size, self.ids = {"\n": 0}, array("q", [0]), array("I")
 
-    def _left(self, chunk: str) -> bool:
-        """Long chunks, and what other Unicode tables might see otherwise, are left to the library."""
-        return len(chunk) > LONG_PIECE or bool(self.odd(chunk.lower()))
-
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_PARTS:
             self.clear()
         whole, left = "\n".join(chunks), []
-        if len(max(chunks, key=len)) > LONG_PIECE or self.odd(whole.lower()):
-            left = [k for k, c in enumerate(chunks) if self._left(c)]
-            whole = "\n".join("" if out_ else c for c, out_ in zip(chunks, np.isin(np.arange(len(chunks)), left), strict=True))
+        if self.odd(whole.lower()):
+            left = [k for k, c in enumerate(chunks) if self.odd(c.lower())]
+            gone = set(left)
+            whole = "\n".join("" if k in gone else c for k, c in enumerate(chunks))
         parts, known, piece = self.find(whole.lower()), self.known, self.merger.piece
         for part in set(parts) - known.keys():
             own = piece(part.encode())

@@ -14,6 +14,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from fernpath.llm import bpe, classifier, ctw, jaccard_join, licences, neighbours, packing, pii, quality_rules, suffix_dedup, suffix_sort
+from fernpath.llm.chunks import Encoder
 from fernpath.llm.lexicon import Lexicon, compiled
 
 SF = "/root/testdata/sf0.001"
@@ -447,6 +448,23 @@ def test_tree_is_a_distribution():
     assert np.allclose((10.0 ** cost.astype(float)).sum(axis=1), 1, atol=1e-5) and every.max() < len(cost)
 
 
+_ODD = "aZ1é ß'ſİıſ Σσς Ωж א ب ٣ क ा あ ァ ー 漢 한 ｡ ！ … — € ₿ → 😀 ́ ​\u2028\x85\xa0\x1c\t\n\r\x0b　�￿.,-_#"
+
+
+def test_tokens_of_odd_texts():
+    """Scripts, marks, gaps and long words: ids as from the library, and texts back as the library gives them."""
+    codec, t = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(rng.choices(_ODD, k=rng.randint(1, 14))) for _ in range(2500)] + ["漢字仮名" * 300, "x" * 5000, "Ἀθῆναι και Αθήνα, Москва", "don't we'll I'M", "a" * 300 + "́"]
+    for text, ids in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+        assert codec.decode(ids.tolist()) == t.decode(ids.tolist(), skip_special_tokens=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    encoder = Encoder(words.tokenizer, str.split, words)
+    for text, ids in zip(texts, encoder.block(texts)):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing(docs, rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.packed(docs).toPandas()
