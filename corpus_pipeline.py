@@ -13,22 +13,27 @@ from fernpath.llm import common, jaccard_join, packing, pii, quality_rules, suff
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without failing lines. Null, empty and short texts go; repeated rows stay or go alike."""
     return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, told apart by doc_id and text; of rows alike in both one stays. No text is lost otherwise."""
     return jaccard_join.distinct(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes of strings that occur elsewhere too; a text may become empty. Null texts stay null."""
     return suffix_dedup.removed(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind. Null texts stay null."""
     return pii.masked(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document's tokens and its place among the sequences. Null texts are one token, the end."""
     return packing.packed(docs)
 
 
@@ -43,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table `documents`; what the others return is written in between. No documents: no rows."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.stash(stage(spark, docs, sf_dir), name)
