@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -187,16 +188,14 @@ class Tree:
 def _codes(texts: list[bytes]) -> np.ndarray:
     """Each byte with the DEPTH bytes before it, the nearest in the highest place; the text, then an end, and ends before it."""
     x = np.frombuffer(b"".join(bytes([END]) * DEPTH + t + bytes([END]) for t in texts), np.uint8)
-    place = np.arange(len(x), dtype=np.int64)
-    first = np.cumsum([0, *(len(t) + DEPTH + 1 for t in texts)])[:-1]
-    inside = np.ones(len(x), bool)
+    code = x[DEPTH:].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        code |= x[DEPTH - k : len(x) - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+    inside = np.ones(len(code), bool)  # not the ends before each text but the first
+    first = np.cumsum([len(t) + DEPTH + 1 for t in texts])[:-1] - DEPTH
     for k in range(DEPTH):
         inside[first + k] = False
-    place = place[inside]
-    code = x[place].astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        code |= x[place - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
-    return code
+    return code[inside]
 
 
 def _stretches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -376,20 +375,17 @@ def _answers(shared):
 def _block_scores(texts: list[bytes], answers: list[dict], shards: int) -> np.ndarray:
     """The score of each text of a block."""
     told = {a["shard"]: np.frombuffer(a["data"], np.float32) for a in answers}
-    sorts = []
+    kinds = []
     for _, length, code in _stretches(texts):
-        order = np.argsort(code)
-        own = code[order]
-        new = np.concatenate(([True], own[1:] != own[:-1]))
-        sorts.append((own[new], order, np.cumsum(new, dtype=np.int32) - 1, length))
-    every = sorts[0][0] if len(sorts) == 1 else np.unique(np.concatenate([x[0] for x in sorts]))
+        found = pa.array(code).dictionary_encode()
+        kinds.append((found.dictionary.to_numpy(), found.indices.to_numpy(), length))
+    every = np.unique(np.concatenate([own for own, _, _ in kinds]))
     cost, to, score = np.zeros(len(every), np.float32), _shard(every, shards), np.zeros(len(texts))
     for k, values in told.items():
         cost[to == k] = values
-    for own, order, at, length in sorts:
-        here = np.empty(len(order), np.float32)
-        here[order] = cost[np.searchsorted(every, own)][at]
-        score += np.add.reduceat(here.astype(np.float64), np.concatenate(([0], np.cumsum(length)[:-1])))
+    for own, at, length in kinds:
+        here = cost[np.searchsorted(every, own)].astype(np.float64)[at]
+        score += np.add.reduceat(here, np.concatenate(([0], np.cumsum(length)[:-1])))
     return score
 
 
@@ -429,23 +425,31 @@ def scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = shared.value[3:]
         part_of = dict(zip(key.tolist(), (np.log10(n + 0.5) - log_all).tolist(), strict=True))
-        known = {}  # word -> its log probability, or None and its hash
+        known = {}  # word -> its log probability (not a number for a word outside the head) and its hash
         end = math.log10(ends + 0.5) - log_all
         for docs, told in _rows(batches, "docs", "told"):
-            rows, texts = [], [d["text"].lower() for d in docs]
-            for low, score in zip(texts, _block_scores(texts, told, shards).tolist(), strict=True):
-                words = low.split()
-                if len(known) > 300_000:
-                    known.clear()
-                for w in set(words):
-                    if w not in known:
-                        h = word_hash(w)
-                        known[w] = part_of.get(h, h)
-                values = [known[w] for w in words]
-                rare = [v for v in values if type(v) is int]
-                frequent = [v for v in values if type(v) is float]
-                rows.append((len(words) + 1, len(frequent) + (ends > 0), math.fsum(frequent) + end, score, rare))
-            yield out(schema, [d["doc_id"] for d in docs], [d["held_out"] for d in docs], *zip(*rows, strict=True))
+            texts = [d["text"].lower() for d in docs]
+            score = _block_scores(texts, told, shards)
+            parts = pa.compute.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+            kinds = parts.values.dictionary_encode()
+            own = kinds.dictionary.to_pylist()
+            if len(known) > 300_000:
+                known.clear()
+            for w in own:
+                if w not in known:
+                    h = word_hash(w.encode())
+                    known[w] = part_of.get(h, math.nan) if w else 0.0, h  # before the first gap and behind the last stands an empty word
+            value, hashed = (np.array([known[w][k] for w in own], kind) for k, kind in ((0, np.float64), (1, np.int64)))
+            at = kinds.indices.to_numpy()
+            real = np.array([w != "" for w in own], bool)[at]
+            text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+            value, rare = value[at], np.isnan(value)[at]
+            total = np.bincount(text, real, len(texts)).astype(np.int64)
+            n_rare = np.bincount(text, rare, len(texts)).astype(np.int64)
+            base = np.bincount(text, np.where(rare, 0.0, value), len(texts)) + end
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))), pa.int32()), pa.array(hashed[at][rare], pa.int64()))
+            columns = [[d["doc_id"] for d in docs], [d["held_out"] for d in docs], total + 1, total - n_rare + (ends > 0), base, score]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), lists], schema=schema)
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
     told = asked.mapInArrow(_answers(shared), "block long, shard int, data binary").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
