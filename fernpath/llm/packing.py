@@ -1,25 +1,26 @@
-"""Best-fit packing of token sequences, in supersteps over sizes.
-
-Documents and gaps are kept sorted by size. A superstep takes the documents of one size, longest first; a sweep finds for them
-the gaps that follow that size most closely; where more documents than gaps (or more gaps than documents) meet, rank decides who
-gets which; the gaps shrink and the next step begins. Rows of one size differ only by rank, so the steps run on runs of equal
-rows: at most MAX_LEN sizes, whatever the number of documents. That part runs on the driver, which is where this departs from a
-sweep over the rows themselves; ranks and places of the rows stay distributed.
+"""Best-fit packing of token sequences, in bulk-synchronous supersteps.
+
+Pieces are sorted by length over the cluster and ranked. A superstep takes the pieces of one range of lengths, the longest range
+first, and all gaps that can hold one of them, sorted and ranked likewise. Pieces and gaps are dealt by rank, so that each shard has
+an even share of every size and no two shards want the same gap. Each shard sweeps its pieces, longest first, and gives each the
+gap that follows its length most closely, be it one that the sweep itself has left, or a new sequence where none is wide enough.
+The gaps that are left are ranked anew for the next range. With one shard this is best-fit decreasing; with several it differs from
+that only by what the shards' last sequences leave open.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernpath.llm.bpe import Merger
@@ -28,8 +29,10 @@ from fernpath.llm.common import blocks, out, raw, stash, table
 
 MAX_LEN = 4096
 END_ID = 1
-#: Rows of one size are ranked in parts of about this many rows, 64 parts at least, so that one size with most rows is no one task's.
-RANK_ROWS, LEAST_PARTS = 1 << 18, 64
+#: Pieces to a shard, about.
+SHARD_ROWS = 1 << 14
+#: Ranges of lengths end where they would get this short: halves of max_len, then all that is left.
+LEAST_RANGE = 64
 #: Chunks with characters from here on are left to the library, since lower case and normal form may depend on what stands around.
 FIRST_LEFT = "ɐ"
 #: Texts are encoded in blocks of about this many bytes.
@@ -38,49 +41,6 @@ TEXT_BYTES = 4 << 20
 MOST_PARTS = 300_000
 
 
-def plan(counts: dict[int, int], capacity: int = MAX_LEN) -> np.ndarray:
-    """Moves (length, first rank, number of documents, first sequence, offset) that place counts[length] documents of each length.
-
-    Document number first rank + k of a length goes to sequence first sequence + k. Zero lengths cannot occur.
-    """
-    moves, runs, sizes, opened = [], {}, [], 0  # runs: gap -> [(first sequence, number)], sizes: the gaps that have runs, sorted
-
-    def free(gap: int, run: tuple[int, int]) -> None:
-        if gap and run[1]:
-            if gap not in runs:
-                runs[gap] = []
-                bisect.insort(sizes, gap)
-            runs[gap].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], sizes[at]
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            fit = gap // length
-            full = min(n, left // fit)
-            for k in range(fit if full else 0):
-                moves.append((length, rank, full, first, capacity - gap + k * length))
-                rank += full
-            left -= full * fit
-            free(gap - fit * length, (first, full))
-            if full < n and left:  # the last of the documents do not fill one gap
-                for k in range(left):
-                    moves.append((length, rank, 1, first + full, capacity - gap + k * length))
-                    rank += 1
-                free(gap - left * length, (first + full, 1))
-                full, left = full + 1, 0
-            free(gap, (first + full, n - full))
-    return np.array(moves, np.int64).reshape(-1, 5)
-
-
 class WordEncoder:
     """Ids of white-space chunks in a vocabulary of lower-case words: its pattern parts chunks, equal parts are encoded once."""
 
@@ -146,38 +106,103 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
     return raw(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """The pieces with sequence_id and offset. `found` is read twice and so must be a table that gives the same rows each time.
+def ranked(rows: DataFrame, size: str) -> DataFrame:
+    """The rows of a written table with `rank`, from 0 on, largest size first; sorted by ranges of sizes, ties in order of the rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(n, F.desc(size), "row").sortWithinPartitions(F.desc(size), "row")
+    ordered = stash(ordered.select(*rows.columns, F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("place")), "ordered")
+    total, before = 0, []
+    for r in ordered.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        before.append((r.part, total))
+        total += r["count"]
+    offsets = spark.createDataFrame(before, "part int, before long")
+    return ordered.join(F.broadcast(offsets), "part").select(*rows.columns, (F.col("before") + F.col("place")).alias("rank"))
 
-    Which of several pieces of one length goes where is settled by their ranks; ranks are dealt part by part.
-    """
-    spark = found.sparkSession
-    parts = max(LEAST_PARTS, -(-found.count() // RANK_ROWS))
-    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
-    tally = stash(found.groupBy("length", "part").agg(F.count("*").alias("n")), "tally")
-    counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
-    moves = plan(counts, max_len)
-    shared = spark.sparkContext.broadcast(moves[np.lexsort((moves[:, 1], moves[:, 0]))])
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    starts = stash(tally.select("length", "part", before.alias("before")), "starts")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names])
+
+class Gaps:
+    """The open sequences of one shard by free tokens; a bit for each width that some have tells the next one quickly."""
+
+    def __init__(self, capacity: int):
+        self.runs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.mask = 0
+
+    def add(self, free: int, sequence: int) -> None:
+        if free:
+            self.runs[free].append(sequence)
+            self.mask |= 1 << free
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        """(free tokens, sequence) of a gap as little wider than `length` as there is, or None."""
+        above = self.mask >> length
+        if not above:
+            return None
+        free = length + (above & -above).bit_length() - 1
+        found = self.runs[free].pop()
+        if not self.runs[free]:
+            self.mask ^= 1 << free
+        return free, found
+
+
+_PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def _sweep(step: int, capacity: int):
+    """From gaps (doc null) and pieces of one shard after the other, gaps first, longest pieces first: the pieces' places and the new gaps."""
+    schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in _PLACED] + [("free", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves = shared.value
-        stride = int(moves[:, 1].max(initial=0)) + int(moves[:, 2].max(initial=0)) + 1
-        begins = moves[:, 0] * stride + moves[:, 1]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            length, rank = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "rank"))
-            move = moves[np.searchsorted(begins, length * stride + rank, "right") - 1]
-            yield out(schema, *(b.column(n) for n in names[:5]), move[:, 3] + rank - move[:, 1], move[:, 4])
-
-    place_in_part = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long")
-    ranked = found.withColumn("place", place_in_part).join(starts, ["length", "part"])
-    ranked = ranked.select(*names[:5], (F.col("before") + F.col("place") - 1).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        gaps, now, opened, rows = Gaps(capacity), None, 0, []
+
+        def flush():
+            nones = [None] * 5
+            rows.extend((*nones, sequence, None, free) for free, run_ in enumerate(gaps.runs) for sequence in run_)
+            found = out(schema, *zip(*rows, strict=True)) if rows else None
+            rows.clear()
+            return found
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("shard", "is_piece", "size", "sequence_id", *_PLACED[:3], "ids_crc32")), strict=True):
+                shard, is_piece, size, sequence, doc, piece, start, crc = row
+                if shard != now:
+                    if now is not None and (done := flush()) is not None:
+                        yield done
+                    gaps, now, opened = Gaps(capacity), shard, 0
+                if not is_piece:
+                    gaps.add(size, sequence)
+                    continue
+                free, sequence = gaps.take(size) or (capacity, (step << 56) | (shard << 36) | opened)
+                opened += free == capacity
+                rows.append((doc, piece, start, size, crc, sequence, capacity - free, None))
+                gaps.add(free - size, sequence)
+        if now is not None and (done := flush()) is not None:
+            yield done
+
+    return run
+
+
+def place(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """The pieces (a written table) with sequence_id and offset."""
+    shards = max(1, -(-found.count() // SHARD_ROWS))
+    shard = F.pmod("rank", F.lit(shards))
+    waiting = stash(ranked(found, "length").select("*", shard.alias("shard")), "waiting")
+    ends = [max_len]
+    while ends[-1] // 2 >= LEAST_RANGE:
+        ends.append(ends[-1] // 2)
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long"
+    gaps, placed = None, []
+    for step, (most, least) in enumerate(zip(ends, [*ends[1:], 0], strict=True)):
+        rows = waiting.where((F.col("length") > least) & (F.col("length") <= most)).select("shard", F.lit(True).alias("is_piece"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), *_PLACED[:3], "ids_crc32")
+        if gaps is not None:
+            wide = ranked(gaps.where(F.col("free") > least), "free").select(shard.alias("shard"), F.lit(False).alias("is_piece"), F.col("free").alias("size"), "sequence_id")
+            rows = rows.unionByName(wide, allowMissingColumns=True)
+        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "is_piece", F.desc("size"), "sequence_id", "doc_id", "piece", "ids_crc32")
+        swept = stash(dealt.mapInArrow(_sweep(step, max_len), fields), "swept")
+        new = swept.where("free is not null").select("sequence_id", "free")
+        gaps = new if gaps is None else new.unionByName(gaps.where(F.col("free") <= least))
+        placed.append(swept.where("free is null").select(*_PLACED))
+    return reduce(DataFrame.unionByName, placed)
 
 
 def packed(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:

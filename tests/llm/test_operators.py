@@ -478,17 +478,29 @@ def test_packing(docs, rows):
     assert end.max() <= 4096 and (end.groupby(got.sequence_id).shift(fill_value=0) == got.offset).all()
 
 
-def test_plan_is_best_fit_decreasing():
-    for _ in range(40):
-        counts = dict(collections.Counter(rng.randint(1, 100) for _ in range(rng.randint(1, 200))))
-        gaps = []
-        for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-            fit = min((g for g in gaps if g >= size), default=None)
-            gaps.remove(fit) if fit is not None else None
-            gaps.append((100 if fit is None else fit) - size)
-        moves = packing.plan(counts, 100)
-        assert sum(m[2] for m in moves) == sum(counts.values())
-        assert max(m[3] + m[2] for m in moves) == len(gaps)
+def _best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for size in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= size), default=None)
+        gaps.remove(fit) if fit is not None else None
+        gaps.append((capacity if fit is None else fit) - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("shard_rows, extra", [(1 << 14, 0), (150, 10)])
+def test_places_are_best_fit_decreasing(spark, tmp_path, monkeypatch, shard_rows, extra):
+    """As many sequences as best-fit decreasing from one shard, hardly more from several; nothing overlaps."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", shard_rows)
+    lengths = [rng.choice([rng.randint(1, 60), rng.randint(40, 400), rng.randint(300, 4096), 700, 4096]) for _ in range(1500)]
+    rows = [(k % 1400, k // 1400, 0, n, 5) for k, n in enumerate(lengths)] + [(3, 0, 0, lengths[3], 5)] * 2
+    spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3).write.parquet(f"{tmp_path}/t")
+    got = packing.place(spark.read.parquet(f"{tmp_path}/t")).toPandas()
+    assert collections.Counter(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == collections.Counter(rows)
+    got = got.sort_values(["sequence_id", "offset"])
+    end = got.offset + got.length
+    assert end.max() <= 4096 and (end.groupby(got.sequence_id).shift(fill_value=0) == got.offset).all()
+    want = _best_fit_decreasing([r[3] for r in rows], 4096)
+    assert want <= got.sequence_id.nunique() <= want + extra
 
 
 def test_neighbours(spark):
