@@ -101,6 +101,17 @@ def walk(roots: list[str], prunes: list[str] = (), quiet: bool = False, counts:
                     yield real
 
 
+def _head(path: str) -> bytes | None:
+    """The first bytes of a file without extension; none if it cannot be read."""
+    if "." in os.path.basename(path).lstrip("."):
+        return None
+    try:
+        with open(path, "rb") as file:
+            return file.read(512)
+    except OSError:
+        return None
+
+
 def _details(magic: bool):
     def run(batches):
         for pdf in batches:
@@ -108,11 +119,7 @@ def _details(magic: bool):
             for path in pdf["full_path"]:
                 try:
                     stat = os.stat(path)
-                    head = None
-                    if magic and "." not in os.path.basename(path).lstrip("."):
-                        with open(path, "rb") as file:
-                            head = file.read(512)
-                    rows.append((path, stat.st_size, int(stat.st_mtime), stat.st_mode, head))
+                    rows.append((path, stat.st_size, int(stat.st_mtime), stat.st_mode, _head(path) if magic else None))
                 except OSError:
                     continue
             yield pd.DataFrame(rows, columns=["full_path", "size", "mtime", "mode", "head"])
@@ -120,6 +127,67 @@ def _details(magic: bool):
     return run
 
 
+def _listed(prunes: list[str], magic: bool):
+    """From folders: the files right in them, with what there is to know of them, and the folders below (without a size)."""
+
+    def run(batches):
+        levels: dict[str, Level] = {}
+
+        def level(folder: str) -> Level:
+            if folder not in levels:
+                parent = os.path.dirname(folder)
+                levels[folder] = Level.of(folder, level(parent) if parent != folder else None)
+            return levels[folder]
+
+        for pdf in batches:
+            found = []
+            for folder in pdf["full_path"]:
+                try:
+                    entries = sorted(os.scandir(folder), key=lambda e: e.name)
+                except OSError:
+                    continue
+                for e in entries:
+                    try:
+                        e.path.encode()
+                        is_folder = e.is_dir(follow_symlinks=False)
+                        real = os.path.realpath(e.path) if e.is_symlink() else e.path
+                        if level(folder).ignores(e.path, is_folder) or _inside(real, prunes) or not (is_folder or os.path.isfile(real)):
+                            continue
+                        stat = os.stat(real)
+                    except (OSError, UnicodeEncodeError):
+                        continue
+                    if is_folder:
+                        found.append((real, None, None, None, None, f"{stat.st_dev}:{stat.st_ino}"))
+                    else:
+                        found.append((real, stat.st_size, int(stat.st_mtime), stat.st_mode, _head(real) if magic else None, None))
+            yield pd.DataFrame(found, columns=["full_path", "size", "mtime", "mode", "head", "inode"]).astype({"size": "Int64", "mtime": "Int64", "mode": "Int32"})
+
+    return run
+
+
+def crawl_spread(spark: SparkSession, roots: list[str], prunes: list[str] = PRUNES, magic: bool = True) -> DataFrame:
+    """The same files as crawl(), listed by the executors one depth of folders after the other.
+
+    For file systems that are mounted alike on the driver and all executors. A folder that several paths lead to is listed once.
+    """
+    prunes = [os.path.realpath(p) for p in prunes if os.path.exists(p)]
+    start = {os.path.realpath(r): os.stat(r) for r in roots if os.path.isdir(r)}
+    files = [p for p in walk([r for r in roots if os.path.isfile(r)], prunes, quiet=True)]
+    fields = "full_path string, size long, mtime long, mode int, head binary, inode string"
+    now = spark.createDataFrame([(p, f"{s.st_dev}:{s.st_ino}") for p, s in start.items() if not _inside(p, prunes)], "full_path string, inode string").dropDuplicates(["inode"])
+    seen = now = stash(now, "folders")
+    found = spark.createDataFrame([(p,) for p in files], "full_path string").mapInPandas(_details(magic), "full_path string, size long, mtime long, mode int, head binary")
+    while not now.isEmpty():
+        level = stash(now.select("full_path").repartition(spark.sparkContext.defaultParallelism, "full_path").mapInPandas(_listed(prunes, magic), fields), "listed")
+        found = found.unionByName(level.where("size is not null").drop("inode"))
+        # the shortest name of a folder that several lead to
+        below = level.where("size is null").groupBy("inode").agg(F.min("full_path").alias("full_path")).join(seen, "inode", "left_anti")
+        now = stash(below.select("full_path", "inode"), "folders")
+        seen = seen.unionByName(now)
+    kind = paths.mime_type(F.col("full_path"), F.col("head"))
+    return found.select("full_path", "size", "mtime", "mode", kind.alias("mime_type")).dropDuplicates(["full_path"])
+
+
 def crawl(spark: SparkSession, roots: list[str] = ROOTS, prunes: list[str] = PRUNES, magic: bool = True, quiet: bool = False, counts: Counts | None = None) -> DataFrame:
     """Files of the driver's file system, with size, time, mode and type. Files whose details cannot be read are left out.
 

@@ -105,6 +105,8 @@ def test_walk(spark, tmp_path):
     assert (counts.folders, counts.skipped, counts.added, counts.denied) == (5, 2, 5, 0) and counts.scanned == 12
     assert {os.path.relpath(p, tmp_path) for p in found} == {"a/x.rs", "a/.hidden", "b/deep/y", "skipped/k.txt"}
     assert found[f"{tmp_path}/b/deep/y"].mime_type == "application/pdf" and found[f"{tmp_path}/a/x.rs"].mime_type == "text/x-rust"
+    spread = walk.crawl_spread(spark, roots, [str(tmp_path / "skip")])
+    assert sorted(spread.collect()) == sorted(tuple(found[p]) for p in found)
     assert walk.listing(spark, str(tmp_path)).where("size = 6").count() >= 1
 
 
@@ -118,6 +120,7 @@ def test_ignore_files(spark, tmp_path):
     (tmp_path / "repo/plain/.ignore").write_text("*.o\n")
     found = {os.path.relpath(p, tmp_path / "repo") for p in walk.walk([str(tmp_path)])}
     assert found == {"keep.log", "src/build/y", "src/deep/keep.tmp"}
+    assert {os.path.relpath(r.full_path, tmp_path / "repo") for r in walk.crawl_spread(spark, [str(tmp_path)], []).collect()} == found
     (tmp_path / "repo/.git").rmdir()  # without a repository only .ignore holds
     assert {"top.log", "build/x", "src/a.tmp"} <= {os.path.relpath(p, tmp_path / "repo") for p in walk.walk([str(tmp_path)])}
     assert {os.path.relpath(p, tmp_path / "repo") for p in walk.walk([str(tmp_path / "repo/plain")])} == {"plain/.ignore"}
