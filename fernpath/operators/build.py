@@ -25,12 +25,13 @@ class IndexError_(RuntimeError):
 
 
 class Index(NamedTuple):
-    """A written index: the files, (kind, gram, doc_id), (kind, gram, docs) and one row that describes it all."""
+    """A written index: the files, (kind, gram, doc_id), (kind, gram, docs), one row that describes it all, and the number of files."""
 
     files: DataFrame
     postings: DataFrame
     grams: DataFrame
     about: DataFrame
+    total: int
 
 
 def default_place() -> str:
@@ -112,8 +113,9 @@ def read(spark: SparkSession, where: str | None = None, verify: bool = False) ->
     except AnalysisException as e:
         raise IndexError_(f"no index in {where}") from e
     try:
-        found = Index(*(spark.read.parquet(f"{where}/{version}/{k}") for k in ("files", "postings", "grams", "meta")))
-        about = found.about.first()
+        tables = [spark.read.parquet(f"{where}/{version}/{k}") for k in ("files", "postings", "grams", "meta")]
+        about = tables[3].first()
+        found = Index(*tables, about.indexed_files)
         if about.format_version not in (1, schema.FORMAT_VERSION):
             raise IndexError_(f"{where} has another format")
         good = found.files.count() == about.indexed_files and (not verify or found.files.agg(_checksum(found.files)).first()[0] == about.checksum)

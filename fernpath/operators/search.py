@@ -59,7 +59,7 @@ def search(
         condition = condition & literals.mime(mime).of(F.col("mime_type"))
     found = files
     if isinstance(index, Index) and patterns:
-        found = idx.narrowed(files, index.postings, patterns, regex, index.grams, index.about.first().indexed_files)
+        found = idx.narrowed(files, index.postings, patterns, regex, index.grams, index.total)
     elif index is not None and patterns:
         found = idx.narrowed(files, index, patterns, regex)
     found = found.where(condition)

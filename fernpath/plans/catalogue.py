@@ -49,17 +49,17 @@ def _search(name: str, where: str, patterns: list[str] | None = None, **how) ->
     query(f"SELECT $P FROM files WHERE {where}", name)(lambda spark, sf_dir: search(files(spark, sf_dir), patterns, **how))
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str], build.Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> build.Index:
-    """The written index of the files; built once for each application and input, read by every query."""
+    """The written index of the files; built and opened once for each application and input, read by every query."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         where = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         build.write(files(spark, sf_dir).drop("doc_id"), where, indexed_paths=["/"], timestamp=NOW)
-        _BUILT[key] = where
-    return build.read(spark, _BUILT[key])
+        _BUILT[key] = build.read(spark, where)
+    return _BUILT[key]
 
 
 _ORDINAL = "SELECT row_number() OVER (ORDER BY full_path) - 1 AS doc_id, full_path, size, mtime, mode, mime_type FROM files"
