@@ -38,14 +38,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_forget)
     _written[path] = spark
     del df
-    if not _one_process(spark):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs any more
+    tidy(spark)
     found = spark.read.schema(schema).parquet(path)
     found._stashed_at = path
     return found
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no plan needs any more; where all runs in one process they are left to their own time."""
+    if not _one_process(spark):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
