@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.operators.staging import release, shared_dir, stash  # noqa: F401
+from fernpath.operators.staging import release, shared_dir, stash, tidy  # noqa: F401
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = " \t\n\x0b\x0c\r"

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, stash, table
+from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, stash, table, tidy
 
 #: Bytes of context in all: a byte and its context fit in 64 bits up to 7.
 DEPTH = 5
@@ -378,13 +378,17 @@ def _block_scores(texts: list[bytes], answers: list[dict], shards: int) -> np.nd
     kinds = []
     for _, length, code in _stretches(texts):
         found = pa.array(code).dictionary_encode()
-        kinds.append((found.dictionary.to_numpy(), found.indices.to_numpy(), length))
-    every = np.unique(np.concatenate([own for own, _, _ in kinds]))
+        own = found.dictionary.to_numpy()
+        order = np.argsort(own)
+        kinds.append((own[order], order, found.indices.to_numpy(), length))
+    every = kinds[0][0] if len(kinds) == 1 else np.unique(np.concatenate([own for own, *_ in kinds]))
     cost, to, score = np.zeros(len(every), np.float32), _shard(every, shards), np.zeros(len(texts))
     for k, values in told.items():
         cost[to == k] = values
-    for own, at, length in kinds:
-        here = cost[np.searchsorted(every, own)].astype(np.float64)[at]
+    for own, order, at, length in kinds:
+        here = np.empty(len(own))
+        here[order] = cost[np.searchsorted(every, own)]
+        here = here[at]
         score += np.add.reduceat(here, np.concatenate(([0], np.cumsum(length)[:-1])))
     return score
 
@@ -400,7 +404,9 @@ def top(shards: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of documents.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, a row for each row of documents.
+
+    bits_per_byte is the code length that the score stands for, by the bytes of the text and its end.
 
     A null text counts as empty: it is one token, its end, for the words, and one end byte for the tree. Repeated rows train as
     often as they occur. Without training texts every word is unknown and every byte's bits are even.
@@ -420,43 +426,41 @@ def scores(docs: DataFrame) -> DataFrame:
     head = head.toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((*tree, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
     log_all = math.log10(n_all + 0.5 * (vocabulary + 1))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    tidy(spark)  # the last plan moves all texts once
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = shared.value[3:]
-        part_of = dict(zip(key.tolist(), (np.log10(n + 0.5) - log_all).tolist(), strict=True))
-        known = {}  # word -> its log probability (not a number for a word outside the head) and its hash
+        part_of = np.append(np.log10(n + 0.5) - log_all, math.nan)
         end = math.log10(ends + 0.5) - log_all
         for docs, told in _rows(batches, "docs", "told"):
             texts = [d["text"].lower() for d in docs]
             score = _block_scores(texts, told, shards)
             parts = pa.compute.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
             kinds = parts.values.dictionary_encode()
-            own = kinds.dictionary.to_pylist()
-            if len(known) > 300_000:
-                known.clear()
-            for w in own:
-                if w not in known:
-                    h = word_hash(w.encode())
-                    known[w] = part_of.get(h, math.nan) if w else 0.0, h  # before the first gap and behind the last stands an empty word
-            value, hashed = (np.array([known[w][k] for w in own], kind) for k, kind in ((0, np.float64), (1, np.int64)))
+            own = kinds.dictionary.cast(pa.large_binary()).to_pylist()
+            hashed = (np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)) ^ np.uint64(1 << 63)).view(np.int64)  # as word_hash()
+            place = np.minimum(np.searchsorted(key, hashed), max(len(key) - 1, 0))
+            empty = np.array([w == b"" for w in own], bool)  # before the first gap and behind the last stands an empty word
+            head = key[place] == hashed if len(key) else np.zeros(len(own), bool)
+            value = np.where(empty, 0.0, part_of[np.where(head, place, len(key))])  # not a number for a word outside the head
             at = kinds.indices.to_numpy()
-            real = np.array([w != "" for w in own], bool)[at]
+            real = ~empty[at]
             text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
             value, rare = value[at], np.isnan(value)[at]
             total = np.bincount(text, real, len(texts)).astype(np.int64)
             n_rare = np.bincount(text, rare, len(texts)).astype(np.int64)
             base = np.bincount(text, np.where(rare, 0.0, value), len(texts)) + end
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))), pa.int32()), pa.array(hashed[at][rare], pa.int64()))
-            columns = [[d["doc_id"] for d in docs], [d["held_out"] for d in docs], total + 1, total - n_rare + (ends > 0), base, score]
+            columns = [[d["doc_id"] for d in docs], [d["held_out"] for d in docs], total + 1, total - n_rare + (ends > 0), base, score, -score * math.log2(10) / np.array([len(t) + 1 for t in texts])]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), lists], schema=schema)
 
-    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rare array<long>"
     told = asked.mapInArrow(_answers(shared), "block long, shard int, data binary").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
     found = held.join(told, "block").select("docs", "told").mapInArrow(run, fields)
     if len(head) == total.v:  # then a word outside the head did not occur in training
         unknown = F.lit(math.log10(0.5) - log_all) * F.size("rare")
-        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).alias("train_tokens"), (F.col("base_score") + unknown).alias("base_score"), "score")
+        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).alias("train_tokens"), (F.col("base_score") + unknown).alias("base_score"), "score", "bits_per_byte")
     found = stash(found.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = words.where(F.col("n") < bound).withColumnsRenamed({"key": "word", "n": "c"})
     rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(rest, "word", "left")
@@ -467,7 +471,7 @@ def scores(docs: DataFrame) -> DataFrame:
     joined = found.drop("rare").join(rare, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
     )
 
 

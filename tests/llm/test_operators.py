@@ -439,6 +439,7 @@ def test_context_tree_scores_every_depth(spark, text_bytes, monkeypatch):
     assert ctw.DEPTH > 4 and len(found) == len(rows)
     for i, r in found.items():
         assert r.score == pytest.approx(_plain_score(low[i], tree, ctw.DEPTH), rel=1e-5)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len(low[i]) + 1))
 
 
 def test_tree_is_a_distribution():
