@@ -149,7 +149,10 @@ _PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "of
 
 
 def _sweep(step: int, capacity: int):
-    """From gaps (doc null) and pieces of one shard after the other, gaps first, longest pieces first: the pieces' places and the new gaps."""
+    """From gaps and pieces of one shard after the other, gaps first, longest pieces first: the pieces' places, and the new gaps (without offset).
+
+    A new sequence's number says in which step and shard it was opened and as which; a shard has about SHARD_ROWS pieces in all.
+    """
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in _PLACED] + [("free", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ def _sweep(step: int, capacity: int):
                 if not is_piece:
                     gaps.add(size, sequence)
                     continue
-                free, sequence = gaps.take(size) or (capacity, (step << 56) | (shard << 36) | opened)
+                free, sequence = gaps.take(size) or (capacity, (step << 58) | (shard << 20) | opened)
                 opened += free == capacity
                 rows.append((doc, piece, start, size, crc, sequence, capacity - free, None))
                 gaps.add(free - size, sequence)
@@ -197,7 +200,7 @@ def place(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
         if gaps is not None:
             wide = ranked(gaps.where(F.col("free") > least), "free").select(shard.alias("shard"), F.lit(False).alias("is_piece"), F.col("free").alias("size"), "sequence_id")
             rows = rows.unionByName(wide, allowMissingColumns=True)
-        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "is_piece", F.desc("size"), "sequence_id", "doc_id", "piece", "ids_crc32")
+        dealt = rows.repartition("shard").sortWithinPartitions("shard", "is_piece", F.desc("size"), "sequence_id", "doc_id", "piece", "ids_crc32")
         swept = stash(dealt.mapInArrow(_sweep(step, max_len), fields), "swept")
         new = swept.where("free is not null").select("sequence_id", "free")
         gaps = new if gaps is None else new.unionByName(gaps.where(F.col("free") <= least))
