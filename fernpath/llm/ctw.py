@@ -6,7 +6,9 @@ mixture of the contexts below it. What training gathers are byte n-gram counts a
 
 Contexts longer than TOP bytes are dealt over shards by the TOP + 1 bytes nearest, so that all that lies below such a context is in
 one shard. Texts are kept in blocks; a block asks each shard for the probabilities of the n-grams it holds, each of them once, and
-the same request brings the shard the block's training counts. Only the contexts of up to TOP bytes are worked out on the driver.
+the same request brings the shard the block's training counts. Requests are merged, and answered, by groups of blocks, so that what a
+task holds is bounded by a group's requests and by the different n-grams of a shard, not by the number of blocks that have them.
+Only the contexts of up to TOP bytes are worked out on the driver.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, stash,
 DEPTH = 5
 #: Bytes of context up to which the tree is worked out on the driver: 256 ** TOP contexts at most.
 TOP = 2
-#: Bytes of text to a block, and about how many blocks there are to a shard.
-TEXT_BYTES, SHARE = 8 << 20, 4
+#: Bytes of text to a block, about how many blocks there are to a shard, the most shards, and the blocks to a group.
+TEXT_BYTES, SHARE, MOST_SHARDS, GROUP = 8 << 20, 4, 4096, 512
 END = 0
 FOLDS, HELD_OUT = 5, 1
 #: The most frequent words are sent to all tasks; counts of all others are joined by the word's hash.
@@ -215,18 +217,18 @@ def _shard(code: np.ndarray, shards: int) -> np.ndarray:
     return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
 
 
-def _pack(code: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending codes as differences, and counts, byte planes apart; compressed."""
+def _pack(code: np.ndarray, n: np.ndarray, width: int = 4) -> bytes:
+    """Ascending codes as differences, and counts of `width` bytes, byte planes apart; compressed."""
     step = np.diff(code, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    plain = step.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(code).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(plain, asbytes=True)
+    plain = step.tobytes() + n.astype(f"u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return len(code).to_bytes(8, "little") + bytes([width]) + pa.Codec("zstd", 1).compress(plain, asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    plain = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 12 * size, asbytes=True), np.uint8)
+    size, width = int.from_bytes(data[:8], "little"), data[8]
+    plain = np.frombuffer(pa.Codec("zstd").decompress(data[9:], (8 + width) * size, asbytes=True), np.uint8)
     step = np.ascontiguousarray(plain[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
-    return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(plain[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(plain[8 * size :].reshape(width, size).T).view(f"u{width}").ravel()
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -350,28 +352,40 @@ class Deep:
         return cost
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (shard, parts) with the codes and counts of parts: those of the whole row."""
+    schema = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
+    for shard, parts in _rows(batches, "shard", "parts"):
+        yield out(schema, [shard], [_pack(*_merged([_unpack(p["data"]) for p in parts]), 8)])
+
+
 def _upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("x", pa.float64())])
-    for (parts,) in _rows(batches, "parts"):
-        gram, n, key, x = Deep(*_merged([_unpack(p["data"]) for p in parts])).upward()
+    for (data,) in _rows(batches, "data"):
+        gram, n, key, x = Deep(*_unpack(data)).upward()
         yield out(schema, np.repeat([0, 1], [len(gram), len(key)]), np.concatenate([gram, key]), np.concatenate([n, x]))
 
 
-def _answers(shared):
-    """From shards: for each block the costs of the codes that it asked for, in their order."""
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+def _costs(shared):
+    """From shards: their codes, and what each costs."""
+    schema = pa.schema([("shard", pa.int32()), ("data", pa.binary()), ("cost", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, parts in _rows(batches, "shard", "parts"):
-            asked = [(p["block"], _unpack(p["data"])) for p in parts]
-            code, n = _merged([x for _, x in asked])
-            cost = Deep(code, n).costs(*shared.value[:3]).astype(np.float32)
-            for block, (own, _) in asked:
-                yield out(schema, [block], [shard], [cost[np.searchsorted(code, own)].tobytes()])
+        for shard, data in _rows(batches, "shard", "data"):
+            yield out(schema, [shard], [data], [Deep(*_unpack(data)).costs(*shared.value[:3]).astype(np.float32).tobytes()])
 
     return run
 
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From groups of blocks and the shard they ask: for each block the costs of the codes that it asked for, in their order."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+    for shard, parts, data, cost in _rows(batches, "shard", "parts", "data", "cost"):
+        code, cost = _unpack(data)[0], np.frombuffer(cost, np.float32)
+        for p in parts:
+            yield out(schema, [p["block"]], [shard], [cost[np.searchsorted(code, _unpack(p["data"])[0])].tobytes()])
+
+
 def _block_scores(texts: list[bytes], answers: list[dict], shards: int) -> np.ndarray:
     """The score of each text of a block."""
     told = {a["shard"]: np.frombuffer(a["data"], np.float32) for a in answers}
@@ -413,10 +427,13 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     held = stash(_blocks(raw(docs, held_out().alias("held_out"))), "blocks")
-    shards = max(12, held.count() // SHARE)
-    asked = held.mapInArrow(_requests(shards), "shard int, block long, data binary").repartition(shards, "shard")
-    asked = stash(asked.groupBy("shard").agg(F.collect_list(F.struct("block", "data")).alias("parts")), "shards")
-    tree = top(asked)
+    blocks_ = held.count()
+    shards, groups = max(12, min(MOST_SHARDS, blocks_ // SHARE)), -(-blocks_ // GROUP) or 1
+    asked = held.mapInArrow(_requests(shards), "shard int, block long, data binary").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    asked = stash(asked.repartition(shards, "shard", "part").groupBy("shard", "part").agg(F.collect_list(F.struct("block", "data")).alias("parts")), "asked")
+    merged = asked.mapInArrow(_merge, "shard int, data binary").groupBy("shard").agg(F.collect_list(F.struct("data")).alias("parts"))
+    merged = stash(merged.mapInArrow(_merge, "shard int, data binary"), "shards")
+    tree = top(merged)
     counts = stash(gather(raw(docs.where(~held_out()))), "counts")
     words = counts.where("kind = 1").select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -456,7 +473,9 @@ def scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), lists], schema=schema)
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rare array<long>"
-    told = asked.mapInArrow(_answers(shared), "block long, shard int, data binary").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
+    costs = merged.mapInArrow(_costs(shared), "shard int, data binary, cost binary")
+    told = asked.join(costs, "shard").select("shard", "parts", "data", "cost").mapInArrow(_answers, "block long, shard int, data binary")
+    told = told.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
     found = held.join(told, "block").select("docs", "told").mapInArrow(run, fields)
     if len(head) == total.v:  # then a word outside the head did not occur in training
         unknown = F.lit(math.log10(0.5) - log_all) * F.size("rare")

@@ -431,6 +431,7 @@ def _plain_score(data, tree, depth):
 @pytest.mark.parametrize("text_bytes", [300, 1 << 20])
 def test_context_tree_scores_every_depth(spark, text_bytes, monkeypatch):
     monkeypatch.setattr(ctw, "TEXT_BYTES", text_bytes)
+    monkeypatch.setattr(ctw, "GROUP", 3)  # several groups of blocks
     texts = [None, "", "abcdefg", "a\0b é", "the quiet river reads the quiet river", "x" * 700] + [" ".join(rng.choices(["banana", "bandana", "cabana", "anna", "The"], k=rng.randint(1, 30))) for _ in range(40)]
     rows = list(enumerate(texts))
     low = {i: (t or "").encode().lower() for i, t in rows}
