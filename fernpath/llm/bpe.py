@@ -13,10 +13,11 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.llm.chunks import Encoder, load
+from fernpath.llm.chunks import Encoder, lasting, load
 from fernpath.llm.common import blocks, most_frequent, out, raw, release, stash, table
 from fernpath.llm.lexicon import Lexicon, compiled
 
@@ -86,7 +87,8 @@ class Codec:
     """Ids of texts and texts of ids, as the vocabulary's own library gives them."""
 
     def __init__(self, path: str, lexicon: bytes | None = None):
-        self.tokenizer, self.merger, self.bytes = load(path), Merger(path), token_bytes(path)
+        self.tokenizer, self.merger, known = load(path), Merger(path), token_bytes(path)
+        self.bytes = np.array([known.get(k, b"") for k in range(max(known) + 1)], object)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.encoder = Encoder(self.tokenizer, _split, self._chunks)
 
@@ -106,7 +108,7 @@ class Codec:
         return self.encoder.block(texts)
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(self.bytes[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
@@ -149,11 +151,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, shared.value)
+        codec = lasting("bytes", (path, xxhash.xxh3_64_digest(shared.value)), lambda: Codec(path, shared.value))
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for part in blocks(batches):
             found = codec.encode([t.decode() for t in part.column("text").to_pylist()])
-            yield out(schema, part.column("doc_id"), [len(x) for x in found], [sha(x.astype("<u4").tobytes()) for x in found], [sha(codec.decode(x.tolist()).encode()) for x in found])
+            yield out(schema, part.column("doc_id"), [len(x) for x in found], [sha(x.astype("<u4").tobytes()) for x in found], [sha(codec.decode(x).encode()) for x in found])
 
     return raw(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -28,12 +28,12 @@ def load(path: str):
     return found
 
 
-def lasting(key: tuple, make: Callable):
-    """What make() gives, made once for each Python worker and key and kept from task to task."""
+def lasting(kind: str, key, make: Callable):
+    """What make() gives, made once for each Python worker and kept from task to task until another key comes for its kind."""
     kept = sys.__dict__.setdefault("_fernpath_lasting", {})  # functions travel by value, so that a variable here would not last
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kind not in kept or kept[kind][0] != key:
+        kept[kind] = key, make()
+    return kept[kind][1]
 
 
 class _Numbers(dict):

@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
             words = WordEncoder(path)
             return Encoder(words.tokenizer, str.split, words)
 
-        encoder = lasting(("words", path), made)
+        encoder = lasting("words", path, made)
         for part in blocks(batches, most=TEXT_BYTES):
             rows = []
             texts = [t.decode() for t in part.column("text").to_pylist()]
