@@ -77,19 +77,27 @@ def _versions(spark: SparkSession, where: str) -> DataFrame:
 
 
 def write(files: DataFrame, where: str | None = None, *, indexed_paths: list[str] = (), pruned_paths: list[str] = (), hostname: str = "", timestamp: int | None = None) -> None:
-    """Write files, postings and a description to a new version under `where`, then make it the current one. Locked meanwhile."""
-    where = where or default_place()
-    with Lock(where, files.sparkSession):
-        _write(files, where, indexed_paths, pruned_paths, hostname, timestamp)
+    """Write files, postings and a description to a new version under `where`, then make it the current one. Locked meanwhile.
+
+    If it fails or is interrupted, what it wrote is removed and the version before stays the current one.
+    """
+    where, spark = where or default_place(), files.sparkSession
+    with Lock(where, spark):
+        try:
+            last = int((_versions(spark, where).agg(F.max("version")).first()[0] or "v0")[1:])
+        except AnalysisException:
+            last = 0
+        version = f"v{last + 1:012d}"  # counted, not dated: the writers' clocks may differ
+        try:
+            _write(files, where, version, indexed_paths, pruned_paths, hostname, timestamp)
+        except BaseException:
+            remove(spark, f"{where}/{version}")
+            raise
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{where}/current")
 
 
-def _write(files: DataFrame, where: str, indexed_paths, pruned_paths, hostname, timestamp) -> None:
+def _write(files: DataFrame, where: str, version: str, indexed_paths, pruned_paths, hostname, timestamp) -> None:
     spark = files.sparkSession
-    try:
-        last = int((_versions(spark, where).agg(F.max("version")).first()[0] or "v0")[1:])
-    except AnalysisException:
-        last = 0
-    version = f"v{last + 1:012d}"  # counted, not dated: the writers' clocks may differ
     table = stash(idx.with_folds(numbered(files.select(*schema.COLUMNS))), "files")
     table.write.parquet(f"{where}/{version}/files")
     # doc_id in the range key, so that a gram that every path has is dealt to many tasks
@@ -102,7 +110,6 @@ def _write(files: DataFrame, where: str, indexed_paths, pruned_paths, hostname,
     about = (schema.FORMAT_VERSION, list(indexed_paths), list(pruned_paths), int(time.time()) if timestamp is None else timestamp, hostname, total.s, total.n, total.checksum)
     fields = "format_version int, indexed_paths array<string>, pruned_paths array<string>, timestamp long, hostname string, total_bytes_indexed long, indexed_files long, checksum long"
     spark.createDataFrame([about], fields).coalesce(1).write.parquet(f"{where}/{version}/meta")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{where}/current")
 
 
 def read(spark: SparkSession, where: str | None = None, verify: bool = False) -> Index:

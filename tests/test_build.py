@@ -68,6 +68,21 @@ def test_update(spark, tmp_path):
         build.write(_rows(spark, rows), where)
 
 
+def test_interrupted_write(spark, tmp_path, monkeypatch):
+    where, files = str(tmp_path / "db"), _rows(spark, [("/a", 1, 1, 0, "x")])
+    build.write(files, where)
+
+    def interrupted(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(build, "_checksum", interrupted)
+    with pytest.raises(KeyboardInterrupt):
+        build.write(files.union(files), where)
+    monkeypatch.undo()
+    assert [p.name for p in (tmp_path / "db").glob("v*")] == ["v000000000001"] and not os.path.exists(where + ".lock")
+    assert build.read(spark, where, verify=True).total == 1
+
+
 def test_dedup_keeps_the_first(spark):
     rows = spark.createDataFrame([("/dup", 0, 0), ("/dup", 999, 1), ("/x", 5, 2)], "full_path string, size long, seq long")
     assert {(r.full_path, r.size) for r in build.dedup(rows).collect()} == {("/dup", 0), ("/x", 5)}
