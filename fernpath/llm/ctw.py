@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, stash, table, tidy
+from fernpath.llm.common import blocks, id_text, most_frequent, out, raw, release, stash, table, tidy
 
 #: Bytes of context in all: a byte and its context fit in 64 bits up to 7.
 DEPTH = 5
@@ -443,7 +443,6 @@ def scores(docs: DataFrame) -> DataFrame:
     head = head.toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((*tree, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
     log_all = math.log10(n_all + 0.5 * (vocabulary + 1))
-    tidy(spark)  # the last plan moves all texts once
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +474,9 @@ def scores(docs: DataFrame) -> DataFrame:
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rare array<long>"
     costs = merged.mapInArrow(_costs(shared), "shard int, data binary, cost binary")
     told = asked.join(costs, "shard").select("shard", "parts", "data", "cost").mapInArrow(_answers, "block long, shard int, data binary")
-    told = told.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
+    told = stash(told.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told")), "told")
+    release(asked, merged)
+    tidy(spark)  # the last plan moves all texts once
     found = held.join(told, "block").select("docs", "told").mapInArrow(run, fields)
     if len(head) == total.v:  # then a word outside the head did not occur in training
         unknown = F.lit(math.log10(0.5) - log_all) * F.size("rare")
