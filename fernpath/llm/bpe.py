@@ -153,7 +153,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = lasting("bytes", (path, xxhash.xxh3_64_digest(shared.value)), lambda: Codec(path, shared.value))
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for part in blocks(batches):
+        for part in blocks(batches, keep=True):
             found = codec.encode([t.decode() for t in part.column("text").to_pylist()])
             yield out(schema, part.column("doc_id"), [len(x) for x in found], [sha(x.astype("<u4").tobytes()) for x in found], [sha(codec.decode(x).encode()) for x in found])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: A worker forgets its chunks beyond this number and starts anew; results do not depend on it.
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 250_000
 #: Separators to Python's str type that the tokenizers' patterns take for symbols; texts with one are encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -29,7 +29,7 @@ def load(path: str):
 
 
 def lasting(kind: str, key, make: Callable):
-    """What make() gives, made once for each Python worker and kept from task to task until another key comes for its kind."""
+    """What make() gives, made once for each Python worker and kept from task to task until another key or a task of another kind comes."""
     kept = sys.__dict__.setdefault("_fernpath_lasting", {})  # functions travel by value, so that a variable here would not last
     if kind not in kept or kept[kind][0] != key:
         kept[kind] = key, make()

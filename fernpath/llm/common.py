@@ -5,6 +5,7 @@ Rows are handed on as they are: none of these functions drops or joins rows, so
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +48,13 @@ def raw(df: DataFrame, *extra) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), *extra)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of a binary column, a row at least."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most` bytes of a binary column, a row at least.
+
+    Unless `keep`, what tasks of another kind have left in this worker (see chunks.lasting) is let go first: memory is for this task.
+    """
+    if not keep:
+        sys.__dict__.pop("_fernpath_lasting", None)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -38,7 +38,7 @@ FIRST_LEFT = "ɐ"
 #: Texts are encoded in blocks of about this many bytes.
 TEXT_BYTES = 4 << 20
 #: A worker forgets parts of chunks beyond this number; results do not depend on it.
-MOST_PARTS = 300_000
+MOST_PARTS = 200_000
 
 
 class WordEncoder:
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
             return Encoder(words.tokenizer, str.split, words)
 
         encoder = lasting("words", path, made)
-        for part in blocks(batches, most=TEXT_BYTES):
+        for part in blocks(batches, most=TEXT_BYTES, keep=True):
             rows = []
             texts = [t.decode() for t in part.column("text").to_pylist()]
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.block(texts), strict=True):
